@@ -29,6 +29,8 @@ BACKGROUND = 0.25
 PURITY = 0.2
 #: Log odds under the first model below which a passage counts as speech for good: its weight is under a billionth.
 FLOOR = -20.0
+#: Chance below which a passage counts as speech in a round; the many small chances of a repeated sentence would outweigh the smoothing.
+DOUBT = 0.1
 #: Rounds of expectation-maximization at most, and the change of the share of residue that ends them.
 ROUNDS, STABLE = 6, 0.002
 #: Evidence that one feature, and all features of a passage per feature, may give; features of a passage are far from independent.
@@ -247,7 +249,7 @@ def fit_and_score(documents: DataFrame, *, doc_key: str = "doc_id", text: str =
             ids = batch.doc_id.to_numpy()
             for rows, trusted_, tokens, offsets in _encoded(batch.text.tolist(), known):
                 keep = np.flatnonzero(trusted_ | (_odds(weights, tokens, offsets) + prior >= FLOOR))
-                yield pd.DataFrame({"doc_id": ids[rows[keep]], "tokens": [tokens[offsets[k] : offsets[k + 1]].tolist() for k in keep], "trusted": trusted_[keep]})
+                yield pd.DataFrame({"doc_id": ids[rows[keep]], "tokens": pd.Series([tokens[offsets[k] : offsets[k + 1]].tolist() for k in keep], dtype=object), "trusted": trusted_[keep]})
 
     kept = checkpoint(source.mapInPandas(suspicious, schema))
     weights, positive, share = first, sure, trusted / total
@@ -263,6 +265,7 @@ def fit_and_score(documents: DataFrame, *, doc_key: str = "doc_id", text: str =
                     of, f = features(tokens, offsets)
                     odds = np.clip(np.bincount(of, w[f], minlength=len(batch)) + base, -50, 50)
                     chance = np.where(batch.trusted, 1.0, 1 / (1 + np.exp(-odds)))
+                    chance[chance < DOUBT] = 0.0
                     n += chance.sum()
                     sums += np.bincount(f, chance[of], minlength=FEATURES)
             used = np.flatnonzero(sums > 1e-9)
