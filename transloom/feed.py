@@ -103,9 +103,14 @@ class Feed(Mapping):
         return networks.walk_network(self["stop_distances"], max_metres)
 
     def add_stop(self, **values) -> Feed:
-        row = self.spark.createDataFrame([tuple(values.get(f.name) for f in self["stops"].schema.fields)], self["stops"].schema)
+        schema = ", ".join(f"{name} {kind}" for name, kind in self["stops"].dtypes)
+        row = self.spark.createDataFrame([tuple(values.get(c) for c in self["stops"].columns)], schema)
         return Feed(self.spark, self.tables | {"stops": self["stops"].unionByName(row)}, self.tz, self.metadata)
 
+    def cached(self) -> Feed:
+        """The same feed with its tables kept once computed."""
+        return Feed(self.spark, {name: df.cache() for name, df in self.tables.items()}, self.tz, self.metadata)
+
     def save(self, folder: str) -> None:
         """All tables as parquet; dated trips by date."""
         for name in self.tables:
