@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from transloom.common import checkpoint
 from transloom.functions.geo import haversine
 from transloom.operators.derive import day_trips, days, resequenced, trip_times
 
@@ -20,10 +21,10 @@ def _semi(tables: Tables, name: str, column: str, keep: DataFrame, keep_column:
 
 def used_stops(stops: DataFrame, stop_times: DataFrame, chain: int = 3) -> DataFrame:
     """Stops that calls use, and their parents up to so many steps."""
-    used = stop_times.select("stop_I").where("stop_I is not null").distinct()
+    used = checkpoint(stop_times.select("stop_I").where("stop_I is not null").distinct())
     for _ in range(chain):
         parents = stops.join(used, "stop_I", "left_semi").select(F.col("parent_I").alias("stop_I")).where("stop_I is not null")
-        used = used.union(parents).distinct()
+        used = checkpoint(used.union(parents).distinct())
     return stops.join(used, "stop_I", "left_semi").select(*stops.columns)
 
 
@@ -110,7 +111,7 @@ def by_place(tables: Tables, lat: float, lon: float, km: float) -> Tables:
     """
     out = dict(tables)
     inside = inside_stops(out["stops"], lat, lon, km)
-    cut = cut_calls(out["stop_times"], inside)
+    cut = checkpoint(cut_calls(out["stop_times"], inside))
     parts = cut.select("trip_I", "part").distinct()
     top = out["trips"].agg(F.coalesce(F.max("trip_I"), F.lit(0))).scalar()
     whole = parts.where("part is null").select("trip_I", "part", F.col("trip_I").alias("new_I"))
@@ -127,7 +128,7 @@ def by_place(tables: Tables, lat: float, lon: float, km: float) -> Tables:
     renamed = names.select(F.col("trip_I").alias("old_I"), F.col("part").alias("of_part"), "new_I")
     calls = cut.join(renamed, (F.col("trip_I") == F.col("old_I")) & F.col("part").eqNullSafe(F.col("of_part"))).select(*[F.col("new_I").alias(c) if c == "trip_I" else F.col(c) for c in out["stop_times"].columns])
     lasting = calls.groupBy("trip_I").agg(F.countDistinct("stop_I").alias("n")).where("n > 1")
-    out["trips"], out["stop_times"] = trips.join(lasting, "trip_I", "left_semi").select(*out["trips"].columns), calls
+    out["trips"], out["stop_times"] = checkpoint(trips.join(lasting, "trip_I", "left_semi").select(*out["trips"].columns)), checkpoint(calls)
     if "shapes" in out:
         leaving = out["shapes"].where(haversine(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon)) >= km * 1000).select("shape_id").distinct()
         out["shapes"] = out["shapes"].join(leaving, "shape_id", "left_anti").select(*tables["shapes"].columns)
