@@ -14,7 +14,6 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "2")
-        .config("spark.sql.codegen.wholeStage", "false")  # tiny tables: compiling takes longer than running
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))

@@ -28,7 +28,7 @@ FEED = {
 
 @pytest.fixture(scope="module")
 def feed(spark):
-    return read_feed(spark, FEED).cached()
+    return read_feed(spark, FEED).materialized()
 
 
 def test_times(spark):
@@ -87,7 +87,7 @@ def test_two_feeds_get_prefixes_and_zones_must_agree(spark):
 def test_written_feeds_read_the_same(spark, feed, tmp_path):
     for name in ("out", "out.zip"):
         write_feed(feed, str(tmp_path / name))
-        again = read_feed(spark, str(tmp_path / name), stop_distance_m=None)
+        again = read_feed(spark, str(tmp_path / name), stop_distance_m=None).materialized()
         for table in ("stops", "routes", "trips", "stop_times", "calendar", "shapes"):
             assert again[table].count() == feed[table].count(), (name, table)
         ids = lambda x: {(r.trip_id, r.start_time_ds, r.end_time_ds) for r in x["trips"].collect()}

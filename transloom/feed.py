@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transloom.common import table
+from transloom.common import checkpoint, table
 from transloom.functions.geo import haversine
 from transloom.operators import derive, events, networks
 
@@ -107,9 +107,9 @@ class Feed(Mapping):
         row = self.spark.createDataFrame([tuple(values.get(c) for c in self["stops"].columns)], schema)
         return Feed(self.spark, self.tables | {"stops": self["stops"].unionByName(row)}, self.tz, self.metadata)
 
-    def cached(self) -> Feed:
-        """The same feed with its tables kept once computed."""
-        return Feed(self.spark, {name: df.cache() for name, df in self.tables.items()}, self.tz, self.metadata)
+    def materialized(self) -> Feed:
+        """The same feed with its tables written to the checkpoint folder, so that what is built on them has short plans."""
+        return Feed(self.spark, {name: checkpoint(df) for name, df in self.tables.items()}, self.tz, self.metadata)
 
     def save(self, folder: str) -> None:
         """All tables as parquet; dated trips by date."""
