@@ -52,3 +52,10 @@ def test_held_out_accuracy(spark):
 def test_empty_sides(spark):
     empty, one = spark.createDataFrame([], SCHEMA), spark.createDataFrame([(1, "Elmby", 1.0, 1.0, None, 0, "")], SCHEMA)
     assert link(empty, one).count() == 0 and link(one, empty).count() == 0 and link(empty, empty).count() == 0
+
+
+def test_near_records_of_like_name_do_not_push_out_one_without_position(spark):
+    left = [(1, "Elmby Church", None, None, "Aldacre", 0, ""), (2, "Elmford Church", 51.0, 7.0, "Aldacre", 0, ""), (3, "Elmgate Church", 51.0003, 7.0, "Aldacre", 0, ""), (4, "Rudford Mill", 51.01, 7.0, None, 0, "")]
+    right = [(101, "Elmby Ch.", 51.0001, 7.0, "Aldacre", 0, ""), (102, "Rudford Mill", None, None, None, 0, ""), (103, "Elmford Ch.", 51.0, 7.0, "Aldacre", 0, "")]
+    rows = link(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)).collect()
+    assert sorted((r.b_id, r.a_id) for r in rows) == [(101, 1), (102, 4), (103, 2)]

@@ -159,7 +159,7 @@ def _attributes(rows: DataFrame) -> DataFrame:
 
 
 def _edges(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a_id, b_id, weight): pairs within reach by the grid, and pairs of one place, kind and town where either has no position; weight is the rarity of what they share."""
+    """(a_id, b_id, weight): pairs within reach by the grid; weight is the rarity of what they share."""
     rarity = (
         _attributes(left.select("a_id", "place", "kind")).groupBy("attribute").agg(F.count("*").alias("df"))
         .select("attribute", F.log1p(left.agg(F.count("*")).scalar() / F.col("df")).alias("rarity"))
@@ -168,19 +168,21 @@ def _edges(left: DataFrame, right: DataFrame) -> DataFrame:
     a = _attributes(left.where("lat is not null and place <> ''").select("a_id", "place", "kind", _cell(row, F.col("lon")).alias("cell"))).drop("place", "kind")
     around = F.array_distinct(F.flatten(F.array(*[F.array(*[_cell(row + dr, F.col("lon"), dc) for dc in (-1, 0, 1)]) for dr in (-1, 0, 1)])))
     b = _attributes(right.where("lat is not null and place <> ''").select("b_id", "place", "kind", around.alias("cells"))).select("b_id", "attribute", F.explode("cells").alias("cell"))
-    near = a.join(b, ["cell", "attribute"]).join(rarity, "attribute").groupBy("a_id", "b_id").agg(F.sum("rarity").alias("weight"))
+    return a.join(b, ["cell", "attribute"]).join(rarity, "attribute").groupBy("a_id", "b_id").agg(F.sum("rarity").alias("weight"))
+
+
+def _unplaced(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a_id, b_id): pairs where either has no position; such a place is known by its whole name, in the same town where both name one."""
     by_name = left.where("whole <> ''").select("a_id", "whole", F.col("town").alias("a_town"), F.col("lat").isNull().alias("a_lost")).join(
         right.where("whole <> ''").select("b_id", "whole", F.col("town").alias("b_town"), F.col("lat").isNull().alias("b_lost")), "whole"
     )
-    # without a position a place is known by its whole name, in the same town where both name one
-    lost = by_name.where("(a_lost or b_lost) and coalesce(a_town = b_town, true)").select("a_id", "b_id", F.lit(1.0).alias("weight"))
-    return near.unionByName(lost).groupBy("a_id", "b_id").agg(F.sum("weight").alias("weight"))
+    return by_name.where("(a_lost or b_lost) and coalesce(a_town = b_town, true)").select("a_id", "b_id")
 
 
 def _pruned(edges: DataFrame) -> DataFrame:
-    """Weighted node pruning: an edge stays if it is strong for its record of the second source."""
+    """(a_id, b_id) by weighted node pruning: an edge stays if it is strong for its record of the second source."""
     best = edges.groupBy("b_id").agg(F.max("weight").alias("best"))
-    return edges.join(best, "b_id").where(F.col("weight") >= KEEP * F.col("best")).drop("best")
+    return edges.join(best, "b_id").where(F.col("weight") >= KEEP * F.col("best")).select("a_id", "b_id")
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
@@ -230,7 +232,8 @@ def link(left: DataFrame, right: DataFrame) -> DataFrame:
         named = _named(_located(rows.select(*columns).where("id is not null").dropDuplicates(["id"])), towns)
         sides.append(checkpoint(named.select(F.col("id").alias(f"{prefix}_id"), "lat", "lon", "town", "type", "place", "kind", "side", "whole", "written")))
     a, b = sides
-    edges = _pruned(_edges(a, b))
+    # no pair is in both; a whole name is evidence enough that no near record may push it out
+    edges = _pruned(_edges(a, b)).unionByName(_unplaced(a, b))
     with_a = edges.join(a.select("a_id", *[F.col(c).alias(f"a_{c}") for c in ("lat", "lon", "town", "type", "place", "kind", "side", "whole", "written")]), "a_id")
     pairs = with_a.join(b.select("b_id", *[F.col(c).alias(f"b_{c}") for c in ("lat", "lon", "town", "type", "place", "kind", "side", "whole", "written")]), "b_id")
     row = F.floor(F.col("a_lat") / (4 * CELL)).cast("long")
