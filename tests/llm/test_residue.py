@@ -59,3 +59,15 @@ def test_fields_are_one_word_and_quotes_are_apart():
     assert words("The vote was {{ x.y }} to nil.") == ([b"the", b"vote", b"was", b"zzfield", b"to", b"nil"], True)
     assert words('He read "Dear {{name}}" out.') == ([b"he", b"read", b"zzquote", b"out", b"qdear", b"qzzfield"], False)
     assert passages(None) == [] and passages("A b.\n\nC d! E") == ["A b.", "C d!", "E"]
+
+
+def test_what_is_learnt_does_not_depend_on_the_size_of_the_corpus(spark):
+    """Words that one trusted passage each holds stay evidence among 600,000 features of speech."""
+    docs, _ = corpus()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    latin = ["v" + "".join(rng.choices(letters, k=9)) for _ in range(100)]
+    docs += [(800 + i, "Lorem ipsum " + " ".join(latin[5 * i : 5 * i + 5]), "") for i in range(20)] + [(900, " ".join(latin[::5]) + ".", "")]
+    more = [(1000 + i, " ".join("".join(rng.choices(letters, k=8)) for _ in range(100)) + ".", "") for i in range(3000)]
+    for every in (docs, docs + more):
+        got = {r.doc_id for r in residue(spark.createDataFrame(every, SCHEMA)).collect()}
+        assert 900 in got and not any(i >= 1000 for i in got)

@@ -1,9 +1,9 @@
 """Template residue, filler, error pages and script notices: positive-unlabelled naive Bayes by expectation-maximization.
 
 Trusted passages are those in the unmistakable form of an unfilled field, filler text, an error message or a script notice. All other
-passages are unlabelled. Counts of hashed features over every passage of the corpus give the first model; passages that it does not
-rule out keep their features and are re-weighted by expectation-maximization until stable. A record is left out if any of its passages
-is more likely residue than speech.
+passages are unlabelled. Exact counts of each feature over every passage of the corpus give the first model; passages that it does not
+rule out keep their features and are re-weighted by expectation-maximization until stable. Only features of trusted passages, then of
+kept ones, are sent to the workers. A record is left out if any of its passages is more likely residue than speech.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from transloom.common import checkpoint
 from transloom.llm.leakage import _OTHER, _TO_WORD, _ascii
 
-#: Hashed features; bounds the model.
-FEATURES = 1 << 17
+#: Features that a task holds before it counts them; bounds its memory, not the model.
+HELD = 1 << 22
 #: Weight of the corpus' own distribution in either class, against that of the class's counts.
 BACKGROUND = 0.25
 #: Share of a feature's passages that must be residue for it to be evidence of that.
 PURITY = 0.2
-#: Log odds under the first model below which a passage counts as speech for good: its weight is under a billionth.
+#: Log odds, at most, under the first model below which a passage counts as speech for good: its weight is under a billionth.
 FLOOR = -20.0
 #: Chance below which a passage counts as speech in a round; the many small chances of a repeated sentence would outweigh the smoothing.
 DOUBT = 0.1
@@ -141,14 +141,14 @@ def words(passage: str) -> tuple[list[bytes], bool]:
 
 
 def features(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(passage, hashed feature) of passages laid end to end: words, pairs of words, first and last word, size."""
+    """(passage, feature as a hash of 63 bits) of passages laid end to end: words, pairs of words, first and last word, size."""
     size = np.diff(offsets)
     of = np.repeat(np.arange(len(size)), size)
     t = tokens.astype("uint64")
 
     def hashed(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return ((x ^ (x >> np.uint64(32))) % np.uint64(FEATURES)).astype("int64")
+        return ((x ^ (x >> np.uint64(32))) >> np.uint64(1)).astype("int64")
 
     pair = np.flatnonzero(of[:-1] == of[1:])
     salt = lambda n: np.uint64(n << 40)
@@ -181,28 +181,52 @@ def _encoded(texts: list[str | None], known: _Tokens) -> Iterator[tuple[np.ndarr
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of each feature in all and in trusted passages; feature -1 counts the passages."""
-    known, every, sure, n, n_sure = _Tokens(), np.zeros(FEATURES, "int64"), np.zeros(FEATURES, "int64"), 0, 0
+    """Counts of each feature in all and in trusted passages, in parts; feature -1 counts the passages."""
+    known, held, n, n_sure = _Tokens(), [], 0, 0
+
+    def counts() -> Iterator[pd.DataFrame]:
+        for k, column in enumerate(("n", "sure")):
+            feature, times = np.unique(np.concatenate([h[k] for h in held]), return_counts=True)
+            yield pd.DataFrame({"feature": feature, "n": 0, "sure": 0}).assign(**{column: times})
+        held.clear()
+
     for batch in batches:
         for _, trusted, tokens, offsets in _encoded(batch.text.tolist(), known):
             of, f = features(tokens, offsets)
-            every += np.bincount(f, minlength=FEATURES)
-            sure += np.bincount(f[trusted[of]], minlength=FEATURES)
+            held.append((f, f[trusted[of]]))
             n += len(trusted)
             n_sure += int(trusted.sum())
-    used = np.flatnonzero(every)
-    yield pd.DataFrame({"feature": np.append(used, -1), "n": np.append(every[used], n), "sure": np.append(sure[used], n_sure).astype("float64")})
+            if sum(len(f) for f, _ in held) > HELD:
+                yield from counts()
+    if held:
+        yield from counts()
+    yield pd.DataFrame({"feature": [-1], "n": [n], "sure": [n_sure]})
+
+
+def _distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        if len(batch):
+            yield pd.DataFrame({"feature": np.unique(features(*_laid_out(batch.tokens.tolist()))[1])})
+
+
+def _places(keys: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Place of each feature in the sorted ``keys``; their number where it is not among them."""
+    at = np.searchsorted(keys, f)
+    return np.where(np.append(keys, -1)[at] == f, at, len(keys))
+
 
+def _weights(every: np.ndarray, positive: np.ndarray, mass: float, distinct: int) -> np.ndarray:
+    """Log odds that each feature gives, clipped, and last the most that one without positives gives.
 
-def _weights(every: np.ndarray, positive: np.ndarray) -> np.ndarray:
-    """Log odds that each feature gives, clipped.
+    ``mass`` and ``distinct`` are of all features of the corpus, of which those given hold all positives.
 
     Both classes are smoothed by the corpus itself, so that a feature that residue never had speaks against it by the same small
     amount however rare it is. A feature that is mostly spoken never speaks for residue: words of one passage depend on each other,
     and the small preferences of many would add up.
     """
-    background = (every + 1) / (every.sum() + len(every))
-    p_mass, n_mass = positive.sum(), (every - positive).sum()
+    every, positive = np.append(every, 1.0), np.append(positive, 0.0)  # without positives the rarest feature speaks least against residue
+    background = (every + 1) / (mass + distinct)
+    p_mass, n_mass = positive.sum(), mass - positive.sum()
     p = (positive + BACKGROUND * p_mass * background) / (p_mass * (1 + BACKGROUND) + 1e-12)
     n = (every - positive + BACKGROUND * n_mass * background) / (n_mass * (1 + BACKGROUND) + 1e-12)
     odds = np.clip(np.log(p + 1e-300) - np.log(n + 1e-300), -CLIP, CLIP)
@@ -218,9 +242,9 @@ def _laid_out(lists) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
 
 
-def _odds(weights: np.ndarray, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _odds(keys: np.ndarray, weights: np.ndarray, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     of, f = features(tokens, offsets)
-    return np.bincount(of, weights[f], minlength=len(offsets) - 1)
+    return np.bincount(of, weights[_places(keys, f)], minlength=len(offsets) - 1)
 
 
 def fit_and_score(documents: DataFrame, *, doc_key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -232,60 +256,64 @@ def fit_and_score(documents: DataFrame, *, doc_key: str = "doc_id", text: str =
     """
     spark = documents.sparkSession
     source = documents.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null and text <> ''")
-    counts = source.mapInPandas(_counted, "feature int, n long, sure double").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("sure").alias("sure")).toPandas()
-    every, sure = np.zeros(FEATURES), np.zeros(FEATURES)
-    body = counts[counts.feature >= 0]
-    every[body.feature], sure[body.feature] = body.n, body.sure
-    total, trusted = (int(counts.loc[counts.feature < 0, c].sum()) for c in ("n", "sure"))
+    counts = checkpoint(source.mapInPandas(_counted, "feature long, n long, sure long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("sure").alias("sure")))
+    seen = counts.where("feature < 0").head()
+    total, trusted = (seen.n, seen.sure) if seen else (0, 0)
     schema = "doc_id long, tokens array<long>, trusted boolean"
     if not trusted:
         return spark.createDataFrame([], "doc_id long, log_odds double, n_passages long")
-    prior, first = _prior(trusted / total), _weights(every, sure)
-    model = spark.sparkContext.broadcast(first)
+    mass, distinct = counts.where("feature >= 0").agg(F.sum("n"), F.count("*")).head()
+    sure = counts.where("feature >= 0 and sure > 0").toPandas().sort_values("feature")
+    prior = _prior(trusted / total)
+    model = spark.sparkContext.broadcast((sure.feature.to_numpy(), _weights(sure.n.to_numpy("float64"), sure.sure.to_numpy("float64"), mass, distinct)))
 
     def suspicious(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, weights = _Tokens(), model.value
+        known, (keys, weights) = _Tokens(), model.value
         for batch in batches:
             ids = batch.doc_id.to_numpy()
             for rows, trusted_, tokens, offsets in _encoded(batch.text.tolist(), known):
-                keep = np.flatnonzero(trusted_ | (_odds(weights, tokens, offsets) + prior >= FLOOR))
+                keep = np.flatnonzero(trusted_ | (_odds(keys, weights, tokens, offsets) + prior >= FLOOR))
                 yield pd.DataFrame({"doc_id": ids[rows[keep]], "tokens": pd.Series([tokens[offsets[k] : offsets[k + 1]].tolist() for k in keep], dtype=object), "trusted": trusted_[keep]})
 
     kept = checkpoint(source.mapInPandas(suspicious, schema))
-    weights, positive, share = first, sure, trusted / total
+    vocabulary = kept.mapInPandas(_distinct, "feature long").distinct().join(counts, "feature").toPandas().sort_values("feature")
+    keys, every, share = vocabulary.feature.to_numpy(), vocabulary.n.to_numpy("float64"), trusted / total
+    weights = _weights(every, vocabulary.sure.to_numpy("float64"), mass, distinct)
+    known_keys = spark.sparkContext.broadcast(keys)
     for _ in range(rounds):
         at = spark.sparkContext.broadcast((weights, _prior(share)))
 
         def expected(batches: Iterator[pd.DataFrame], at=at) -> Iterator[pd.DataFrame]:
-            w, base = at.value
-            sums, n = np.zeros(FEATURES), 0.0
+            (w, base), keys = at.value, known_keys.value
+            sums, n = np.zeros(len(keys)), 0.0
             for batch in batches:
                 if len(batch):
                     tokens, offsets = _laid_out(batch.tokens.tolist())
                     of, f = features(tokens, offsets)
+                    f = _places(keys, f)
                     odds = np.clip(np.bincount(of, w[f], minlength=len(batch)) + base, -50, 50)
                     chance = np.where(batch.trusted, 1.0, 1 / (1 + np.exp(-odds)))
                     chance[chance < DOUBT] = 0.0
                     n += chance.sum()
-                    sums += np.bincount(f, chance[of], minlength=FEATURES)
+                    sums += np.bincount(f, chance[of], minlength=len(keys))
             used = np.flatnonzero(sums > 1e-9)
             yield pd.DataFrame({"feature": np.append(used, -1), "n": np.append(sums[used], n)})
 
         new = kept.mapInPandas(expected, "feature int, n double").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
-        positive = np.zeros(FEATURES)
+        positive = np.zeros(len(keys))
         body = new[new.feature >= 0]
         positive[body.feature] = body.n
         last, share = share, float(new.loc[new.feature < 0, "n"].sum()) / total
-        weights = _weights(every, np.minimum(positive, every))
+        weights = _weights(every, np.minimum(positive, every), mass, distinct)
         if abs(share - last) <= STABLE * last:
             break
     final = spark.sparkContext.broadcast((weights, _prior(share)))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, base = final.value
+        (w, base), keys = final.value, known_keys.value
         for batch in batches:
             if len(batch):
-                odds = _odds(w, *_laid_out(batch.tokens.tolist())) + base
+                odds = _odds(keys, w, *_laid_out(batch.tokens.tolist())) + base
                 yield pd.DataFrame({"doc_id": batch.doc_id, "log_odds": np.where(batch.trusted, np.maximum(odds, CLIP), odds)})
 
     return kept.mapInPandas(scored, "doc_id long, log_odds double").groupBy("doc_id").agg(F.max("log_odds").alias("log_odds"), F.count("*").alias("n_passages"))
