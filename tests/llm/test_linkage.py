@@ -59,3 +59,10 @@ def test_near_records_of_like_name_do_not_push_out_one_without_position(spark):
     right = [(101, "Elmby Ch.", 51.0001, 7.0, "Aldacre", 0, ""), (102, "Rudford Mill", None, None, None, 0, ""), (103, "Elmford Ch.", 51.0, 7.0, "Aldacre", 0, "")]
     rows = link(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)).collect()
     assert sorted((r.b_id, r.a_id) for r in rows) == [(101, 1), (102, 4), (103, 2)]
+
+
+def test_swapped_positions_that_stay_in_range(spark):
+    left = [(1, "Elmby Church", 7.0, 51.0, None, 0, ""), (2, "Rudford Mill", 51.01, 7.01, "Aldacre", 0, ""), (3, "Kelgate Road", 7.02, 51.02, "Aldacre", 0, ""), (4, "Elmby Church", 20.0, 30.0, None, 0, "")]
+    right = [(101, "Elmby Ch.", 51.0001, 7.0, "Aldacre", 0, ""), (102, "Rudford Mill", 7.01, 51.0101, "Aldacre", 0, ""), (103, "Kelgate Road", 51.02, 7.02, "Falenport", 0, ""), (104, "Elmby Church", 30.1, 20.1, None, 0, "")]
+    rows = link(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)).collect()
+    assert sorted((r.b_id, r.a_id) for r in rows) == [(101, 1), (102, 2)]

@@ -179,6 +179,24 @@ def _unplaced(left: DataFrame, right: DataFrame) -> DataFrame:
     return by_name.where("(a_lost or b_lost) and coalesce(a_town = b_town, true)").select("a_id", "b_id")
 
 
+def _crossed(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a_id, b_id): pairs of one whole name, in the same town where both name one, that are near only with latitude and longitude of either swapped."""
+
+    def placed(rows: DataFrame, prefix: str, lat: str, lon: str, steps: tuple[int, ...]) -> DataFrame:
+        row = F.floor(F.col(lat) / CELL).cast("long")
+        cells = F.array_distinct(F.array(*[_cell(row + dr, F.col(lon), dc) for dr in steps for dc in steps]))
+        named = rows.where(f"lat is not null and abs({lat}) <= 90 and whole <> ''")
+        return named.select(f"{prefix}_id", "whole", *[F.col(c).alias(f"{prefix}_{c}") for c in ("town", "lat", "lon")], F.col(lat).alias(f"{prefix}_y"), F.col(lon).alias(f"{prefix}_x"), F.explode(cells).alias("cell"))
+
+    def metres(y: str, x: str) -> Column:
+        return haversine(F.col(f"a_{y}"), F.col(f"a_{x}"), F.col(f"b_{y}"), F.col(f"b_{x}"))
+
+    either = placed(left, "a", "lon", "lat", (0,)).join(placed(right, "b", "lat", "lon", (-1, 0, 1)), ["whole", "cell"]).unionByName(
+        placed(left, "a", "lat", "lon", (0,)).join(placed(right, "b", "lon", "lat", (-1, 0, 1)), ["whole", "cell"])
+    )
+    return either.where((metres("y", "x") <= REACH_M) & (metres("lat", "lon") > REACH_M) & F.expr("coalesce(a_town = b_town, true)")).select("a_id", "b_id").distinct()
+
+
 def _pruned(edges: DataFrame) -> DataFrame:
     """(a_id, b_id) by weighted node pruning: an edge stays if it is strong for its record of the second source."""
     best = edges.groupBy("b_id").agg(F.max("weight").alias("best"))
@@ -220,7 +238,8 @@ def link(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a_id, b_id, confidence): of each record of ``right`` the record of ``left`` that describes the same entity, if there is one.
 
     Both sides have id (long, unique), name, lat, lon, town and type. Null or empty names match nothing; a missing or impossible
-    position leaves the whole name, with the town where both name one. Several records of ``right`` may match one of ``left``. Of
+    position leaves the whole name, with the town where both name one, as does one that is near only with its latitude and longitude
+    swapped. Several records of ``right`` may match one of ``left``. Of
     equal scores the nearer, then the smaller id wins. Repeated rows of an id count once; an empty side gives no match. Confidence
     lies between 0 and 1.
     """
@@ -232,10 +251,13 @@ def link(left: DataFrame, right: DataFrame) -> DataFrame:
         named = _named(_located(rows.select(*columns).where("id is not null").dropDuplicates(["id"])), towns)
         sides.append(checkpoint(named.select(F.col("id").alias(f"{prefix}_id"), "lat", "lon", "town", "type", "place", "kind", "side", "whole", "written")))
     a, b = sides
-    # no pair is in both; a whole name is evidence enough that no near record may push it out
-    edges = _pruned(_edges(a, b)).unionByName(_unplaced(a, b))
+    # a whole name is evidence enough that no near record may push it out
+    known = _pruned(_edges(a, b)).unionByName(_unplaced(a, b)).withColumn("crossed", F.lit(False)).unionByName(_crossed(a, b).withColumn("crossed", F.lit(True)))
+    edges = known.groupBy("a_id", "b_id").agg(F.max("crossed").alias("crossed"))
     with_a = edges.join(a.select("a_id", *[F.col(c).alias(f"a_{c}") for c in ("lat", "lon", "town", "type", "place", "kind", "side", "whole", "written")]), "a_id")
     pairs = with_a.join(b.select("b_id", *[F.col(c).alias(f"b_{c}") for c in ("lat", "lon", "town", "type", "place", "kind", "side", "whole", "written")]), "b_id")
+    # which of two swapped positions is right is not known: such a pair is scored as one without
+    pairs = pairs.withColumns({c: F.when(~F.col("crossed"), F.col(c)) for c in ("a_lat", "a_lon")})
     row = F.floor(F.col("a_lat") / (4 * CELL)).cast("long")
     scored = _scored(pairs).where("own > -8").select(
         "a_id", "b_id", "own", "metres", "north", "east", F.xxhash64("a_place", "a_kind", row, F.floor(F.col("a_lon") / (4 * CELL))).alias("place"), F.col("own").alias("score")
