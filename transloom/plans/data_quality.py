@@ -92,6 +92,21 @@ UNION ALL
 SELECT 'trip_I', trip_I, count(*), count(DISTINCT stop_I), min(dep_time_ds), max(dep_time_ds) FROM stop_times WHERE trip_I IS NOT NULL GROUP BY trip_I
 """
 
+_FIELD_RE = """(?:"(?:[^"]|"")*"|[^",]*)"""
+_VALUE = "trim(coalesce(list_extract(f, list_position(names, '{0}')), ''), ' ')"
+_SIZED = "coalesce(regexp_full_match({0}, '[+-]?[0-9]+([.][0-9]+)?') AND abs(TRY_CAST({0} AS DOUBLE)) <= {1}, false)"
+#: raw_stops read by a pattern for a field; ``reason`` is null where a record is valid.
+_RAW = rf"""
+WITH h AS (SELECT feed, list_transform(regexp_extract_all(regexp_replace(replace(min(record) FILTER (line_no = 1), chr(65279), ''), '\r$', '') || ',', '{_FIELD_RE},'), lambda x: trim(rtrim(x, ','), ' "')) AS names FROM raw_stops GROUP BY feed),
+r AS (SELECT raw_id, feed, names, CASE WHEN ends_with(record, chr(13)) THEN left(record, length(record) - 1) ELSE coalesce(record, '') END AS rec FROM raw_stops JOIN h USING (feed) WHERE line_no > 1),
+s AS (SELECT *, regexp_full_match(rec, '{_FIELD_RE}(?:,{_FIELD_RE})*') AS quoted FROM r),
+t AS (SELECT *, CASE WHEN quoted THEN list_transform(regexp_extract_all(rec || ',', '{_FIELD_RE},'), lambda x: CASE WHEN starts_with(x, '"') THEN replace(x[2:length(x) - 2], '""', '"') ELSE x[1:length(x) - 1] END) END AS f FROM s),
+v AS (SELECT *, {_VALUE.format('stop_id')} AS stop_id, {_VALUE.format('stop_name')} AS stop_name, {_VALUE.format('stop_code')} AS stop_code, {_VALUE.format('stop_lat')} AS lat, {_VALUE.format('stop_lon')} AS lon FROM t),
+judged AS (SELECT *, CASE WHEN NOT quoted THEN 'quoting' WHEN len(f) <> len(names) THEN 'column_count'
+  WHEN NOT (regexp_full_match(stop_id, '[A-Za-z0-9_.:-]{{1,40}}') AND stop_name <> '' AND NOT regexp_matches(stop_name, '[\x00-\x1F\x{{FFFD}}]') AND (stop_code = '' OR regexp_full_match(stop_code, '[\p{{L}}\p{{Nd}}][\p{{L}}\p{{Nd}} /-]{{0,11}}'))
+    AND {_SIZED.format('lat', 90)} AND {_SIZED.format('lon', 180)}) THEN 'invalid_value' END AS reason FROM v)
+"""
+
 _DISTANCE = """2 * 6378137.0 * atan2(sqrt(a), sqrt(greatest(0.0, 1 - a)))"""
 
 #: Statements over whole tables; p1's compares every two stops and serves the small scales.
@@ -110,6 +125,9 @@ UNION ALL
 SELECT 'zone', e.zone_I, s.stop_I FROM e JOIN s ON (e.y1 > s.lat) <> (e.y2 > s.lat) AND s.lon < (e.x2 - e.x1) * (s.lat - e.y1) / (e.y2 - e.y1) + e.x1
 GROUP BY e.zone_I, s.stop_I HAVING count(*) % 2 = 1
 """,
+    "p3_found": f"{_RAW} SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p3_loaded": f"{_RAW} SELECT raw_id, stop_id, stop_name, nullif(stop_code, '') AS stop_code, round(lat::DOUBLE, 6) AS stop_lat, round(lon::DOUBLE, 6) AS stop_lon FROM judged WHERE reason IS NULL",
+    "p3_reasons": f"{_RAW} SELECT feed, coalesce(reason, 'loaded') AS reason, count(*) AS n_records FROM judged GROUP BY ALL",
     "p4_found": f"SELECT child_table, child_field, row_key, kind FROM ({_ORPHANS}) WHERE kind IS NOT NULL",
     "p4_report": f"SELECT child_table, child_field, kind, strftime(loaded_at, '%Y-%m') AS month, count(*) AS n_rows FROM ({_ORPHANS}) WHERE kind IS NOT NULL GROUP BY ALL",
     "p5_profile": _PROFILE,
