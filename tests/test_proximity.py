@@ -10,7 +10,8 @@ ZONES = "zone_I long, zone_kind string, ring array<struct<seq:int,lat:double,lon
 
 def brute(rows, radius):
     rows = [r for r in rows if r[0] is not None and r[1] is not None and r[2] is not None and not (r[1] == 0 and r[2] == 0) and abs(r[1]) <= 90 and abs(r[2]) <= 180]
-    return {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and haversine_np(a[1], a[2], b[1], b[2]) <= radius}
+    key, lat, lon = (np.array(x) for x in zip(*[r[:3] for r in rows]))
+    return {(int(k), int(key[j])) for k, y, x in zip(key, lat, lon) for j in np.flatnonzero((haversine_np(y, x, lat, lon) <= radius) & (key > k))}
 
 
 def world(seed, n):
@@ -40,6 +41,24 @@ def test_ties_at_one_place_are_all_near(spark):
     assert got.count() == 120 * 119 // 2
 
 
+def town(n, seed=5):
+    rng = np.random.default_rng(seed)
+    return [(i, float(51 + y), float(7 + x), None, None) for i, (y, x) in enumerate(rng.uniform(0, 0.1, (n, 2)))]
+
+
+def test_split_cells_find_the_same_with_few_copies(spark):
+    copies = []
+    for n in (400, 1600):
+        rows = town(n) + [(9000 + i, 51.05, 7.05, None, None) for i in range(60)]
+        square = [(0, 51.02, 7.02), (1, 51.02, 7.06), (2, 51.06, 7.06), (3, 51.06, 7.02)]
+        cells = VoronoiPartition(spark.createDataFrame(rows, POINTS), "stop_I", "lat", "lon", 100.0, max_pivots=3, split_rows=n // 12, block_rows=40, regions=spark.createDataFrame([(1, "a", square)], ZONES), region_key="zone_I")
+        assert {(r.key_a, r.key_b) for r in cells.near_pairs().collect()} == brute(rows, 100.0)
+        assert {(r.key_a, r.key_b) for r in cells.containing().collect()} == {(1, r[0]) for r in rows if 51.02 < r[1] < 51.06 and 7.02 < r[2] < 7.06}
+        assert cells.rows.where("home and not region").count() == len(rows)
+        copies.append(cells.rows.where("not region").count() / len(rows))
+    assert max(copies) < 3
+
+
 def test_vantage_points_miss_nothing():
     rng = np.random.default_rng(3)
     lat, lon = rng.uniform(10, 10.05, 900), rng.uniform(20, 20.05, 900)

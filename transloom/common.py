@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,12 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset (tests, local runs) name a folder of our own."""
+    """Use the cluster's ``spark.checkpoint.dir``. Where it is unset a local session gets a folder of its own; on a cluster that would be a folder of each machine, so it raises RuntimeError.
+
+    Checkpoints go when the DataFrames built on them are no longer held.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "transloom-checkpoints"))
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="transloom-checkpoints-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    sc.setCheckpointDir(named)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -30,8 +40,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has no more than ``rows`` rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df`` has no more than ``rows`` rows, by one aggregate."""
+    return df.count() <= rows
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name`` = 1, 2, … (long) in a total order of its rows, nulls first.
+
+    Rows are range-partitioned; a task numbers its own and adds the rows of the partitions before, of which there is one count each.
+    """
+    placed = checkpoint(df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).withColumn("part_", F.spark_partition_id()))
+    counts = placed.groupBy("part_").agg(F.count("*").alias("n_"))
+    before = counts.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))  # one row a partition
+    own = F.row_number().over(Window.partitionBy("part_").orderBy(*[F.col(c).asc_nulls_first() for c in order]))
+    return placed.withColumn("own_", own).join(F.broadcast(before), "part_").withColumn(name, F.col("before_") + F.col("own_")).drop("part_", "own_", "before_")
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:

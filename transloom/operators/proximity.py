@@ -2,8 +2,9 @@
 
 Points are split by a Voronoi partition around pivots. A point is copied to every cell whose pivot is at most two radii farther
 than its own, by the triangle inequality all that a neighbour could live in; within a cell a vantage-point tree finds the pairs by
-the exact great-circle metric. No cell is handled whole if it is too large: its members are hashed into blocks of bounded size and
-each pair of blocks is one task.
+the exact great-circle metric. A cell with too many points is split by pivots of its own, again and again, so that copies stay at
+the rims however many points there are. Only what no pivots can split, points within a few radii of each other and so mostly pairs
+themselves, is hashed into blocks of bounded size, each pair of blocks being one task. A region is a point with a radius of its own.
 """
 
 from __future__ import annotations
@@ -15,13 +16,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transloom.common import checkpoint
+from transloom.common import at_most, broadcast_if_small, checkpoint
 from transloom.functions.geo import EARTH_RADIUS, haversine_np, unit_vectors, usable_position
 
 #: Pivots are thinned from the positions of lowest hash, so many at most.
 PIVOT_SAMPLE = 20_000
-#: Pivots kept at most; bounds what is broadcast.
+#: Pivots of the first level at most; bounds what is broadcast. Larger cells have pivots of their own.
 MAX_PIVOTS = 2_048
+#: A cell of more points is split; its pivots are so many at most, from so many of its points in expectation.
+SPLIT_ROWS, CELL_PIVOTS, CELL_SAMPLE = 8_000, 64, 2_048
+#: Rows of a cell that one task assigns to its pivots, in expectation.
+ASSIGN_ROWS = 50_000
+#: A split must leave no part with more than this share of the cell, and make no more copies than this.
+LARGEST_PART, MOST_COPIES = 0.9, 2.5
+#: Names of cells that may be broadcast.
+BROADCAST_CELLS = 200_000
 #: Pivots are so many radii apart at least.
 PIVOT_GAP_RADII = 8
 #: Rows of one side in one task at most, in expectation.
@@ -53,30 +62,67 @@ def choose_pivots(points: DataFrame, gap_m: float, max_pivots: int = MAX_PIVOTS,
     return vectors[kept]
 
 
-def _assigner(pivots: np.ndarray, radius_m: float):
-    """mapInPandas function: each point once per cell, ``home`` marking its own."""
-    reach = (2 * radius_m + SLACK_M) / EARTH_RADIUS
+def _near_cells(lat: np.ndarray, lon: np.ndarray, reach_m: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pivot, home): each row's own pivot, and those that are at most twice its reach farther."""
+    dots = unit_vectors(lat, lon) @ pivots.T
+    every = np.arange(len(lat))
+    own = dots.argmax(1)
+    far = np.arccos(np.clip(dots[every, own], -1, 1)) + (2 * reach_m + SLACK_M) / EARTH_RADIUS
+    near = dots >= np.where(far >= np.pi, -2.0, np.cos(np.minimum(far, np.pi)) - 1e-13)[:, None]
+    near[every, own] = True
+    row, cell = np.nonzero(near)
+    return row, cell, cell == own[row]
+
+
+ROWS = "pid long, lat double, lon double, reach double, region boolean, cell string, home boolean"
+
+
+def _assigner(pivots: np.ndarray):
+    """mapInPandas function: each row once per cell of the first level, ``home`` marking its own."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         step = max(1, 2_000_000 // len(pivots))
         for batch in batches:
             for k in range(0, len(batch), step):
                 part = batch.iloc[k : k + step]
-                dots = unit_vectors(part.lat.to_numpy(), part.lon.to_numpy()) @ pivots.T
-                own = dots.argmax(1)
-                angle = np.arccos(np.clip(dots[np.arange(len(part)), own], -1, 1))
-                far = angle + reach
-                near = dots >= np.where(far >= np.pi, -2.0, np.cos(np.minimum(far, np.pi)) - 1e-13)[:, None]
-                near[np.arange(len(part)), own] = True
-                row, cell = np.nonzero(near)
-                out = part.iloc[row].copy()
-                out["cell"] = cell.astype("int32")
-                out["home"] = cell == own[row]
-                yield out
+                row, cell, home = _near_cells(*(part[c].to_numpy() for c in ("lat", "lon", "reach")), pivots)
+                yield part.iloc[row].assign(cell=cell.astype(str), home=home)
 
     return assign
 
 
+def _cell_pivots(radius_m: float):
+    """A cell's sample to its pivots, none where they would not split it."""
+
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        lat, lon, reach = (part[c].to_numpy() for c in ("lat", "lon", "reach"))
+        vectors = unit_vectors(lat, lon)
+        for gap in (8, 4, 2):
+            limit = np.cos(min(np.pi, gap * max(radius_m, 1.0) / EARTH_RADIUS))
+            kept, free = [], np.ones(len(vectors), bool)
+            while free.any() and len(kept) < CELL_PIVOTS:
+                kept.append(int(free.argmax()))
+                free &= vectors @ vectors[kept[-1]] < limit
+            if len(kept) > 1:
+                row, cell, _ = _near_cells(lat, lon, reach, vectors[kept])
+                if np.bincount(cell).max() <= LARGEST_PART * len(part) and len(row) <= MOST_COPIES * len(part):
+                    x, y, z = vectors[kept].T
+                    return pd.DataFrame({"cell": [part.cell.iloc[0]], "buckets": [part.buckets.iloc[0]], "x": [x.tolist()], "y": [y.tolist()], "z": [z.tolist()]})
+        return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("cell", "buckets", "x", "y", "z")})
+
+    return choose
+
+
+def _split(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """Members of a cell to the cells of its pivots; only a member at home in both stays at home."""
+    if not len(rows) or not len(pivots):
+        return rows.iloc[:0][["pid", "lat", "lon", "reach", "region", "cell", "home"]]
+    p = pivots.iloc[0]
+    row, cell, home = _near_cells(*(rows[c].to_numpy() for c in ("lat", "lon", "reach")), np.column_stack((p.x, p.y, p.z)))
+    out = rows.iloc[row]
+    return out.assign(cell=out.cell.to_numpy() + "." + cell.astype(str).astype(object), home=out.home.to_numpy() & home)[["pid", "lat", "lon", "reach", "region", "cell", "home"]]
+
+
 def _metres(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Great-circle metres from unit vectors ``a`` to the one vector ``b``."""
     chord = np.sqrt(((a - b) ** 2).sum(1))
@@ -135,59 +181,89 @@ def _prepared(points: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
     return typed.where(F.col("pid").isNotNull() & usable_position(F.col("lat"), F.col("lon"))).distinct()
 
 
+def _placed_regions(regions: DataFrame, key: str, ring: str) -> DataFrame:
+    """(rid, ring_lat, ring_lon, lat, lon, reach): regions with usable rings, the middle of their bounds and how far from it they reach at most."""
+    shape = regions.select(
+        F.col(key).cast("long").alias("rid"),
+        F.expr(f"transform(array_sort(filter({ring}, v -> v.lat is not null and v.lon is not null), (a, b) -> cast(coalesce(a.seq, 0) - coalesce(b.seq, 0) as int)), v -> struct(cast(v.lat as double) as lat, cast(v.lon as double) as lon))").alias("ring"),
+    ).where("rid is not null and size(ring) > 2")
+    # no point lies beyond the range of degrees
+    bound = lambda c, most: [F.greatest(F.lit(-most), F.expr(f"array_min(transform(ring, v -> v.{c}))")).alias(f"{c}_lo"), F.least(F.lit(most), F.expr(f"array_max(transform(ring, v -> v.{c}))")).alias(f"{c}_hi")]
+    bounds = shape.select("rid", F.expr("transform(ring, v -> v.lat)").alias("ring_lat"), F.expr("transform(ring, v -> v.lon)").alias("ring_lon"), *bound("lat", 90.0), *bound("lon", 180.0)).where("lat_lo <= lat_hi and lon_lo <= lon_hi")
+    lat, lon = (F.col("lat_lo") + F.col("lat_hi")) / 2, (F.col("lon_lo") + F.col("lon_hi")) / 2
+    # along the middle's parallel, then along a meridian
+    reach = F.lit(EARTH_RADIUS) * F.radians((F.col("lat_hi") - F.col("lat_lo")) / 2 + F.cos(F.radians(lat)) * (F.col("lon_hi") - F.col("lon_lo")) / 2) + SLACK_M
+    return bounds.select("rid", "ring_lat", "ring_lon", lat.alias("lat"), lon.alias("lon"), reach.alias("reach"))
+
+
 class VoronoiPartition:
-    """Points assigned to the cells of one radius; shared by the joins so that the assignment is made once."""
+    """Points, and regions if given, assigned to the cells of one radius; shared by the joins so that the assignment is made once."""
 
-    def __init__(self, points: DataFrame, key: str, lat: str, lon: str, radius_m: float, *, max_pivots: int = MAX_PIVOTS, block_rows: int = BLOCK_ROWS):
-        self.radius_m, self.block_rows, self.spark = radius_m, block_rows, points.sparkSession
+    def __init__(
+        self, points: DataFrame, key: str, lat: str, lon: str, radius_m: float, *, regions: DataFrame | None = None, region_key: str = "", ring: str = "ring",
+        max_pivots: int = MAX_PIVOTS, block_rows: int = BLOCK_ROWS, split_rows: int = SPLIT_ROWS,
+    ):
+        self.radius_m, self.block_rows, self.split_rows = radius_m, block_rows, split_rows
         located = _prepared(points, key, lat, lon)
-        self.pivots = choose_pivots(located, max(PIVOT_GAP_RADII * radius_m, 1.0), max_pivots)
-        if len(self.pivots):
-            self.rows = checkpoint(located.mapInPandas(_assigner(self.pivots, radius_m), "pid long, lat double, lon double, cell int, home boolean"))
+        placed = located.select("pid", "lat", "lon", F.lit(float(radius_m)).alias("reach"), F.lit(False).alias("region"))
+        if regions is not None:
+            self.regions = _placed_regions(regions, region_key, ring)
+            placed = placed.unionByName(self.regions.select(F.col("rid").alias("pid"), "lat", "lon", "reach", F.lit(True).alias("region")).distinct())
+        pivots = choose_pivots(located, max(PIVOT_GAP_RADII * radius_m, 1.0), max_pivots)
+        if len(pivots):
+            self.rows = self._divided(checkpoint(placed.mapInPandas(_assigner(pivots), ROWS)))
         else:
-            self.rows = located.select("*", F.lit(0).alias("cell"), F.lit(True).alias("home")).where(F.lit(False))
-        #: One row per cell, as many as pivots at most.
-        home = F.when(F.col("home"), 1)
-        self.cells = self.rows.groupBy("cell").agg(
-            F.greatest(F.lit(1), F.ceil(F.count(home) / block_rows)).cast("int").alias("probe_blocks"),
-            F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("build_blocks"),
-            *[f(F.when(F.col("home"), F.col(c))).alias(f"{c}_{n}") for c in ("lat", "lon") for n, f in (("lo", F.min), ("hi", F.max))],
-        ).withColumn("cell_no", F.col("cell")).drop("cell")
+            self.rows = placed.select("*", F.lit("").alias("cell"), F.lit(True).alias("home")).where(F.lit(False))
+        per_block = lambda n: F.greatest(F.lit(1), F.ceil(n / block_rows)).cast("int")
+        #: Cells that are too large for one task, with their blocks.
+        self.large = checkpoint(
+            self.rows.where("not region").groupBy("cell").agg(per_block(F.count(F.when(F.col("home"), 1))).alias("probe_blocks"), per_block(F.count("*")).alias("build_blocks")).where("build_blocks > 1")
+        ).withColumnRenamed("cell", "of_cell")
+
+    def _divided(self, rows: DataFrame) -> DataFrame:
+        """Cells of more than ``split_rows`` points split by pivots of their own, until none is left that can be split."""
+        done: DataFrame | None = None
+        while True:
+            sizes = checkpoint(rows.where("not region").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > self.split_rows))
+            if at_most(sizes, 0):
+                return rows if done is None else done.unionByName(rows)
+            sized = rows.where("not region").join(broadcast_if_small(sizes, BROADCAST_CELLS), "cell")
+            sample = sized.where(F.pmod(F.xxhash64("pid", "lat", "lon", "cell"), "n") < CELL_SAMPLE).withColumn("buckets", F.ceil(F.col("n") / ASSIGN_ROWS).cast("int"))
+            pivots = checkpoint(sample.groupBy("cell").applyInPandas(_cell_pivots(self.radius_m), "cell string, buckets int, x array<double>, y array<double>, z array<double>"))
+            names = broadcast_if_small(pivots.select("cell", "buckets"), BROADCAST_CELLS)
+            kept = rows.join(names, "cell", "left_anti").select(*rows.columns)
+            done = kept if done is None else done.unionByName(kept)
+            if at_most(pivots, 0):
+                return done
+            members = rows.join(names, "cell").withColumn("bucket", F.pmod(F.xxhash64("pid", "lat", "lon"), "buckets").cast("int"))
+            each = pivots.select("cell", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"), "x", "y", "z")
+            rows = checkpoint(members.groupBy("cell", "bucket").cogroup(each.groupBy("cell", "bucket")).applyInPandas(_split, ROWS))
+
+    def _blocked(self, rows: DataFrame) -> DataFrame:
+        joined = rows.join(broadcast_if_small(self.large, BROADCAST_CELLS), F.col("cell") == F.col("of_cell"), "left")
+        return joined.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("probe_blocks", "build_blocks")})
 
     def near_pairs(self) -> DataFrame:
         """(key_a, key_b, d): pairs of different keys, key_a < key_b, within the radius, each once.
 
-        Only the cell of key_a reports a pair. A block pair is a task; each row meets every block of the other side of its cell.
+        Only the cell of key_a reports a pair. A block pair is a task; a row meets every block of the other side of its cell.
         """
-        rows = self.rows.join(F.broadcast(self.cells), F.col("cell") == F.col("cell_no"))
+        rows = self._blocked(self.rows.where("not region"))
         block = lambda n: F.pmod(F.xxhash64("pid", "lat", "lon"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         probe = rows.where("home").select("cell", block("probe_blocks").alias("i"), every("build_blocks").alias("j"), F.lit(True).alias("probe"), "pid", "lat", "lon")
         build = rows.select("cell", every("probe_blocks").alias("i"), block("build_blocks").alias("j"), F.lit(False).alias("probe"), "pid", "lat", "lon")
         return probe.unionByName(build).groupBy("cell", "i", "j").applyInPandas(_pairs(self.radius_m), "key_a long, key_b long, d double")
 
-    def containing(self, regions: DataFrame, key: str, ring: str) -> DataFrame:
+    def containing(self) -> DataFrame:
         """(key_a = region, key_b = point): the point lies in the ring, whose edges are straight in the plane of lon and lat.
 
-        A region goes to the cells whose members' bounds meet its own; rings of fewer than three usable vertices hold nothing, and
-        vertices without a position are passed over.
+        Rings of fewer than three usable vertices hold nothing, and vertices without a position are passed over.
         """
-        shape = regions.select(
-            F.col(key).cast("long").alias("rid"),
-            F.expr(f"transform(array_sort(filter({ring}, v -> v.lat is not null and v.lon is not null), (a, b) -> cast(coalesce(a.seq, 0) - coalesce(b.seq, 0) as int)), v -> struct(cast(v.lat as double) as lat, cast(v.lon as double) as lon))").alias("ring"),
-        ).where("rid is not null and size(ring) > 2")
-        bounds = shape.select(
-            "*", *[F.expr(f"array_{m}(transform(ring, v -> v.{c}))").alias(f"r_{c}_{n}") for c in ("lat", "lon") for n, m in (("lo", "min"), ("hi", "max"))]
-        )
-        met = bounds.join(
-            F.broadcast(self.cells),
-            (F.col("lat_lo") <= F.col("r_lat_hi")) & (F.col("lat_hi") >= F.col("r_lat_lo")) & (F.col("lon_lo") <= F.col("r_lon_hi")) & (F.col("lon_hi") >= F.col("r_lon_lo")),
-        ).select("cell_no", F.explode(F.sequence(F.lit(0), F.col("probe_blocks") - 1)).alias("i_no"), "rid", F.expr("transform(ring, v -> v.lat)").alias("ring_lat"), F.expr("transform(ring, v -> v.lon)").alias("ring_lon"))
-        members = (
-            self.rows.where("home").join(F.broadcast(self.cells.select("cell_no", "probe_blocks")), F.col("cell") == F.col("cell_no"))
-            .select("cell", F.pmod(F.xxhash64("pid", "lat", "lon"), "probe_blocks").cast("int").alias("i"), "pid", "lat", "lon")
-        )
-        return members.groupBy("cell", "i").cogroup(met.groupBy("cell_no", "i_no")).applyInPandas(_contained, "key_a long, key_b long")
+        members = self._blocked(self.rows.where("home and not region")).select("cell", F.pmod(F.xxhash64("pid", "lat", "lon"), "probe_blocks").cast("int").alias("i"), "pid", "lat", "lon")
+        met = self._blocked(self.rows.where("region")).select(F.col("cell").alias("cell_no"), F.explode(F.sequence(F.lit(0), F.col("probe_blocks") - 1)).alias("i_no"), F.col("pid").alias("rid"))
+        met = met.distinct().join(self.regions.select("rid", "ring_lat", "ring_lon"), "rid")
+        return members.groupBy("cell", "i").cogroup(met.groupBy("cell_no", "i_no")).applyInPandas(_contained, "key_a long, key_b long").distinct()
 
 
 def points_in_ring(lat: np.ndarray, lon: np.ndarray, ring_lat: np.ndarray, ring_lon: np.ndarray) -> np.ndarray:
@@ -219,7 +295,7 @@ def near_and_containing(points: DataFrame, regions: DataFrame, *, point_key: str
     Points without a usable position, and rows with a null key, take part in nothing. Repeated rows count once; several points at
     one place are all near each other. Empty tables give an empty result. Other columns, whatever their names, are not looked at.
     """
-    cells = VoronoiPartition(points, point_key, lat, lon, radius_m, **settings)
+    cells = VoronoiPartition(points, point_key, lat, lon, radius_m, regions=regions, region_key=region_key, ring=ring, **settings)
     near = cells.near_pairs().select(F.lit("near").alias("kind"), "key_a", "key_b")
-    inside = cells.containing(regions, region_key, ring).select(F.lit("zone").alias("kind"), "key_a", "key_b")
+    inside = cells.containing().select(F.lit("zone").alias("kind"), "key_a", "key_b")
     return near.unionByName(inside)

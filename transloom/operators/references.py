@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transloom.common import at_most, bloom_filter, might_contain
+from transloom.common import at_most, bloom_filter, checkpoint, might_contain
 
 #: A side of at most so many (key, two timestamps) rows, about 50 MB, may be broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
@@ -50,18 +50,17 @@ def orphan_rows(ref: Reference, *, broadcast_rows: int = BROADCAST_ROWS) -> Data
     )
     held = bloom_filter(ref.parent.where(F.col(ref.parent_key).isNotNull()), ref.parent_key, ref.parent.count())
     maybe = might_contain(held, F.col("ref"), spark)
-    certain = child.where(~maybe).select("row_key", F.lit("missing").alias("kind"), "at")
-
     values = child.where(maybe).groupBy("ref").agg(F.min("at").alias("first"))
     verified = values.join(parent, "ref", "left").select(
         "ref", "first", "since", F.when(F.col("live").isNull(), "missing").when(~F.col("live"), "deleted").alias("kind")
     )
-    doubtful = verified.where("kind is not null or since > first").select("ref", "since", "kind")
-    if at_most(doubtful, broadcast_rows):
-        doubtful = F.broadcast(doubtful)
+    doubtful = checkpoint(verified.where("kind is not null or since > first").select("ref", "since", "kind"))
     kind = F.coalesce("kind", F.when(F.col("since") > F.col("at"), "late"))
-    checked = child.join(doubtful, "ref").select("row_key", kind.alias("kind"), "at").where("kind is not null")
-    rows = certain.unionByName(checked)
+    if at_most(doubtful, broadcast_rows):
+        rows = child.join(F.broadcast(doubtful), "ref", "left").select("row_key", F.when(~maybe, "missing").otherwise(kind).alias("kind"), "at").where("kind is not null")
+    else:
+        certain = child.where(~maybe).select("row_key", F.lit("missing").alias("kind"), "at")
+        rows = certain.unionByName(child.join(doubtful, "ref").select("row_key", kind.alias("kind"), "at").where("kind is not null"))
     return rows.select(F.lit(ref.child_table).alias("child_table"), F.lit(ref.field).alias("child_field"), "row_key", "kind", F.col("at").alias("loaded_at"))
 
 
