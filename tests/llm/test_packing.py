@@ -64,6 +64,24 @@ def test_optimal_where_a_perfect_packing_exists():
     assert plan.containers <= plan.lower_bound * 1.02 + 1
 
 
+def test_every_container_is_of_a_pattern_of_the_program(monkeypatch):
+    rng = random.Random(5)
+    sizes, made = {}, []
+    for _ in range(2500):
+        size = min(2048, max(1, int(rng.lognormvariate(5.2, 1.2))))
+        sizes[size] = sizes.get(size, 0) + 1
+    solve = packing.solve_program
+
+    def kept(*args):
+        found = solve(*args)
+        made.append(found)
+        return found
+
+    monkeypatch.setattr(packing, "solve_program", kept)
+    plan = plan_containers(sizes)
+    assert sum(max(1, int(x)) for found in made for _, x in found) + sizes.get(2048, 0) >= plan.containers and plan.containers <= plan.lower_bound * 1.01 + 1
+
+
 def test_texts_are_measured_whole(spark):
     texts = [(1, "One two, three."), (2, None), (3, ""), (None, "x y"), (4, "long text " * 9000), (4, "again")]
     rows = pack(spark.createDataFrame(texts, "doc_id long, text string")).collect()

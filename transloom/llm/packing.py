@@ -2,8 +2,9 @@
 
 Only the histogram of sizes, as many numbers as a container has tokens, comes to the driver. The program's columns are patterns of
 sizes that fit a container; each round prices the sizes by how much of their demand is still uncovered, finds the best pattern by
-knapsack dynamic programming and gives it its share of the containers. Whole parts of the solution are kept, the rest is filled by
-decreasing size. Texts are then matched to the patterns' places by their number among the texts of their size.
+knapsack dynamic programming and gives it its share of the containers, until all demand is covered. Patterns are rounded to whole
+containers as far as the supply goes, and the program is solved again for what is left, until nothing is. Texts are then matched to
+the patterns' places by their number among the texts of their size.
 """
 
 from __future__ import annotations
@@ -26,8 +27,13 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 #: Fixed value: the expression that splits a text before that vocabulary's merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Rounds of multiplicative weights, and how steeply a size's price falls as it is covered.
-ROUNDS, STEEPNESS = 200, 10.0
+#: How steeply a size's price falls as it is covered.
+STEEPNESS = 8.0
+#: Sizes that a round prices at first: the least covered and, for half as many, the smallest; what fits the room that is left comes
+#: from all. A pattern that still leaves more than this share of a container empty is sought again among all sizes.
+PRICED, EMPTY = 48, 0.002
+#: Share of containers beyond the volume's need at which a solution is rounded though some size is not covered yet; those left over are in the next one's demand.
+SPARE = 0.05
 #: Texts in a bucket in which texts of one size are numbered, in expectation.
 BUCKET_ROWS = 200_000
 
@@ -67,13 +73,14 @@ def best_pattern(prices: np.ndarray, sizes: np.ndarray, supply: np.ndarray, capa
             parts.append((k, min(n, left)))
             left -= n
             n *= 2
-    value = np.zeros(capacity + 1)
+    value, better = np.zeros(capacity + 1, "float32"), np.empty(capacity + 1, "float32")
     taken = np.zeros((len(parts), capacity + 1), bool)
     for row, (k, n) in enumerate(parts):
         w = int(sizes[k]) * n
-        better = value[: capacity + 1 - w] + prices[k] * n
-        np.greater(better, value[w:], out=taken[row, w:])
-        np.maximum(value[w:], better, out=value[w:])
+        with_it, without = better[w:], value[w:]
+        np.add(value[: capacity + 1 - w], np.float32(prices[k] * n), out=with_it)
+        np.greater(with_it, without, out=taken[row, w:])
+        np.maximum(with_it, without, out=without)
     counts = np.zeros(len(sizes), "int64")
     c = int(value.argmax())
     for row in range(len(parts) - 1, -1, -1):
@@ -84,6 +91,42 @@ def best_pattern(prices: np.ndarray, sizes: np.ndarray, supply: np.ndarray, capa
     return counts
 
 
+def solve_program(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
+    """Patterns and how many containers, in fractions, each is given: the configuration program by multiplicative weights.
+
+    No step covers a size beyond its demand.
+    """
+    need = float((sizes * demand).sum()) / capacity
+    share = max(2 * need / len(sizes), 1e-3)
+    covered = np.zeros(len(sizes))
+    smallest = np.arange(min(PRICED // 2, len(sizes)))
+    given: dict[bytes, tuple[np.ndarray, float]] = {}
+    spent, short = 0.0, 0
+    while covered.min() < 1 - 1e-9 and spent < (1 + SPARE) * need + 1:
+        prices = sizes * np.exp(-STEEPNESS * (covered - covered.min()))
+        order = np.argsort(covered, kind="stable")
+        counts = np.zeros(len(sizes), "int64")
+        some = np.union1d(order[:PRICED], smallest)
+        counts[some] = best_pattern(prices[some], sizes[some], demand[some], capacity)
+        room = capacity - int((counts * sizes).sum())
+        fitting = np.flatnonzero(sizes <= room)
+        if len(fitting):
+            counts[fitting] += best_pattern(prices[fitting], sizes[fitting], (demand - counts)[fitting], room)
+        if capacity - (counts * sizes).sum() > EMPTY * capacity and len(some) < len(sizes):
+            # where nothing fills a container, it is tried ever less often
+            short += 1
+            if short.bit_count() == 1:
+                counts = best_pattern(prices, sizes, demand, capacity)
+                short = 0 if capacity - (counts * sizes).sum() <= EMPTY * capacity else short
+        used = np.flatnonzero(counts)
+        step = min(share, float((demand[used] / counts[used]).min()))
+        covered[used] += step * counts[used] / demand[used]
+        key = counts.tobytes()
+        given[key] = (counts, given[key][1] + step if key in given else step)
+        spent += step
+    return sorted(given.values(), key=lambda g: -g[1])
+
+
 @dataclass
 class Plan:
     """Places of each size: place ``start`` and on go to container ``base`` and on, ``each`` places a container."""
@@ -102,8 +145,8 @@ class Plan:
         return self.base[k] + (place - self.starts[k]) // self.each[k]
 
 
-def plan_containers(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
-    """Patterns and their numbers for items of sizes 1 to capacity."""
+def plan_containers(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """Patterns and their numbers for items of sizes 1 to capacity; every container is of a pattern of the program."""
     demand = {int(s): int(n) for s, n in histogram.items() if s > 0 and n > 0}
     volume = sum(s * n for s, n in demand.items())
     bound = -(-volume // capacity)
@@ -112,46 +155,15 @@ def plan_containers(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
         patterns.append((np.array([capacity]), np.array([1]), full))
     sizes = np.array(sorted(demand), "int64")
     left = np.array([demand[s] for s in sizes.tolist()], "int64")
-    if len(sizes):
-        supply = left.copy()
-        share = max(1.0, float(-(-(sizes * left).sum() // capacity))) / rounds
-        covered = np.zeros(len(sizes))
-        weight: dict[bytes, float] = {}
-        kept: dict[bytes, np.ndarray] = {}
-        for _ in range(rounds):
-            counts = best_pattern(sizes * np.exp(-STEEPNESS * np.minimum(covered, 4.0)), sizes, supply, capacity)
-            covered += share * counts / supply
-            key = counts.tobytes()
-            kept[key] = counts
-            weight[key] = weight.get(key, 0.0) + share
-            if covered.min() >= 1:
-                break
-        # whole parts, as far as the supply of every size in the pattern goes
-        for key, x in sorted(weight.items(), key=lambda item: (-item[1], item[0])):
-            used = np.flatnonzero(kept[key])
-            n = min(int(x), int((left[used] // kept[key][used]).min()))
+    while left.any():
+        some = np.flatnonzero(left)
+        for counts, x in solve_program(sizes[some], left[some], capacity):
+            held = counts > 0
+            used, each = some[held], counts[held]
+            n = min(max(1, int(x)), int((left[used] // each).min()))
             if n > 0:
-                left[used] -= n * kept[key][used]
-                patterns.append((sizes[used], kept[key][used], n))
-        # of the rest the largest first, with what fills its container best, each pattern as often as it lasts
-        while left.any():
-            largest = int(np.flatnonzero(left)[-1])
-            each = np.zeros(len(sizes), "int64")
-            room, k = capacity, largest
-            while room > 0 and k >= 0:
-                each[k] = min(int(left[k]), room // int(sizes[k]))
-                room -= int(each[k] * sizes[k])
-                k = min(k - 1, int(np.searchsorted(sizes, room, "right")) - 1)
-            if room > 0:
-                rest = left.copy()
-                rest[largest] -= 1
-                better = best_pattern(sizes.astype("float64"), sizes, rest, capacity - int(sizes[largest]))
-                better[largest] += 1
-                each = better if (better * sizes).sum() > capacity - room else each
-            used = np.flatnonzero(each)
-            n = int((left[used] // each[used]).min())
-            left[used] -= n * each[used]
-            patterns.append((sizes[used], each[used], n))
+                left[used] -= n * each
+                patterns.append((sizes[used], each, n))
     keys, each_, base, starts = [], [], [], []
     at: dict[int, int] = {}
     number = 0
