@@ -1,9 +1,11 @@
 """Template residue, filler, error pages and script notices: positive-unlabelled naive Bayes by expectation-maximization.
 
-Trusted passages are those in the unmistakable form of an unfilled field, filler text, an error message or a script notice. All other
-passages are unlabelled. Exact counts of each feature over every passage of the corpus give the first model; passages that it does not
-rule out keep their features and are re-weighted by expectation-maximization until stable. Only features of trusted passages, then of
-kept ones, are sent to the workers. A record is left out if any of its passages is more likely residue than speech.
+Passages are sentences, and every piece of a text in unusual characters (a field is one, but so is a remark in brackets). Those in the
+unmistakable form of an unfilled field, filler text, an error message or a script notice are trusted: they are the positives to learn
+from and nothing else. All other passages are unlabelled. Exact counts of each feature over every passage of the corpus give the first
+model; passages that it does not rule out keep their features and are re-weighted by expectation-maximization until stable. Only
+features of trusted passages, then of kept ones, are sent to the workers. A record is left out if the model takes any of its passages,
+trusted or not, for residue rather than speech.
 """
 
 from __future__ import annotations
@@ -31,49 +33,47 @@ PURITY = 0.2
 FLOOR = -20.0
 #: Chance below which a passage counts as speech in a round; the many small chances of a repeated sentence would outweigh the smoothing.
 DOUBT = 0.1
-#: Rounds of expectation-maximization at most, and the change of the share of residue that ends them.
-ROUNDS, STABLE = 6, 0.002
+#: Change of the share of residue that ends expectation-maximization.
+STABLE = 0.002
 #: Evidence that one feature, and all features of a passage per feature, may give; features of a passage are far from independent.
 CLIP = 4.0
 
 #: Tags of formatting, which are no words of a text.
-_FORMAT = re.compile(r"</?(?:p|br|b|i|u|em|strong|div|span|li|ul|ol|a|blockquote|sup|sub)\b[^<>]{0,200}>", re.I)
-_TAG = re.compile(r"</?(?:html|head|title|body|center|h[1-6]|noscript|script|meta|!doctype)\b[^<>]{0,200}>", re.I)
+_FORMAT = re.compile(r"</?(?:p|br|b|i|u|em|strong|div|span|li|ul|ol|a|blockquote|sup|sub)\b[^<>]*>", re.I)
+TAG = r"</?(?:html|head|title|body|center|h[1-6]|noscript|script|meta|!doctype)\b[^<>]*>"
 
 #: The usual notations of a field that a template leaves open.
-_FIELD = re.compile(
-    r"\{\{[^{}]{1,80}\}\}|\{%[^{}%]{1,80}%\}|<%[^<>%]{1,80}%>|[$#]\{[^{}]{1,80}\}|%\([A-Za-z][\w. ]{0,60}\)[sd]|<<[A-Za-z][\w. ]{0,60}>>|\[\[[A-Za-z][\w. ]{0,60}\]\]"
-    r"|__[A-Z][A-Z0-9_]{0,60}__|@@[A-Za-z][\w.]{0,60}@@|\$[A-Z][A-Z0-9_]{0,60}\$|%[A-Z][A-Z0-9_]{1,60}%|\{[A-Za-z][A-Za-z_.]{1,60}\}"
-    r"|<(?:insert|add|enter|put|your|name of)\s[^<>]{1,60}>|\[(?:INSERT|ADD|ENTER|YOUR|NAME OF|TO BE|TBD)\b[^\[\]]{0,60}\]|\[[A-Z][A-Z ]{1,60} HERE\]"
-    r"|\[[^\[\]]{0,60}\b(?:einfügen|eintragen|ergänzen|ausfüllen|à compléter|à remplir|à insérer|à ajouter|goes here|to be filled in|placeholder)\b[^\[\]]{0,60}\]"
+FIELDS = (
+    r"\{\{[^{}]+\}\}", r"\{%[^{}%]+%\}", r"<%[^<>%]+%>", r"[$#]\{[^{}]+\}", r"%\([A-Za-z][\w. ]*\)[sd]", r"<<[A-Za-z][\w. ]*>>", r"\[\[[A-Za-z][\w. ]*\]\]",
+    r"__[A-Z][A-Z0-9_]*__", r"@@[A-Za-z][\w.]*@@", r"\$[A-Z][A-Z0-9_]*\$", r"%[A-Z][A-Z0-9_]+%", r"\{[A-Za-z][A-Za-z_.]+\}",
+    r"<(?:insert|add|enter|put|your|name of)\s[^<>]+>", r"\[(?:INSERT|ADD|ENTER|YOUR|NAME OF|TO BE|TBD)\b[^\[\]]*\]", r"\[[A-Z][A-Z ]+ HERE\]",
+    r"\[[^\[\]]*\b(?:einfügen|eintragen|ergänzen|ausfüllen|à compléter|à remplir|à insérer|à ajouter|goes here|to be filled in|placeholder)\b[^\[\]]*\]",
 )
-_QUOTED = re.compile(r'"[^"]{1,300}"|“[^“”]{1,300}”|„[^„“”]{1,300}[“”]|«[^«»]{1,300}»|‘[^‘’]{3,300}’(?!\w)')
-_BRACKETS = re.compile(r"\([^()]{0,400}\)|\[[^\[\]]{0,400}\]")
+#: What stands between unusual characters: in brackets of any kind but round ones, or between the same signs.
+_ODD = re.compile(r"[$#%@]?\{+[^{}]*\}+|<+[^<>]*>+|\[+[^\[\]]*\]+|%\([^()\s]*\)[a-z]|(?P<sign>[%@#$|~^*=_]{1,3})\w[\w.-]*(?P=sign)")
+_SIGNS = re.compile(r"[^\w\s.,;:!?'’-]+|_{2,}")
+_QUOTED = re.compile(r'"[^"]+"|“[^“”]+”|„[^„“”]+[“”]|«[^«»]+»|‘[^‘’]{3,}’(?!\w)')
+_BRACKETS = re.compile(r"\([^()]*\)")
 
 #: How passages begin, or read as a whole, that nobody speaks.
-_TRUSTED = re.compile(
-    "|".join(
-        (
-            r"lorem ipsum\b", r"(?:x{2,}[\s.]*){3,}", r"(?:asdf|qwert)", r"(?:(?:test|blah|bla|tk)[ ,.]+){2,}",
-            r"(?:dies(?:er text)? ist (?:ein |nur )?)?(?:blindtext|platzhaltertext|mustertext)\b", r"hier steht (?:später|demnächst|bald)\b",
-            r"(?:ceci est un )?faux texte\b", r"texte (?:à venir|provisoire|de remplissage)\b",
-            r"(?:this is )?(?:a )?(?:sample|dummy|placeholder|filler) (?:paragraph|text|copy)\b", r"(?:\w+ ){0,2}(?:text|copy) (?:goes here|to follow|to come)\b",
-            r"(?:http )?(?:error|fehler|erreur)\s*:?\s*[1-5]\d\d\b", r"[45]\d\d\s*[-–:]?\s*(?:not found|forbidden|unauthorized|bad request|bad gateway|internal server|service unavailable|gateway time)",
-            r'\{\s*"(?:status|error|errors|code|message)"\s*:', r"traceback \(most recent call last\)",
-            r"(?:page not found|page introuvable|(?:die )?seite (?:wurde )?nicht gefunden|access denied|accès refusé|zugriff verweigert|service unavailable)[.!]?$",
-            r"die angeforderte seite\b", r"la page demandée\b", r"(?:oops!? )?we can[’']?t find the page\b", r"the page you (?:are looking for|requested)\b",
-            r"the server (?:could not|cannot|encountered|is temporarily)\b", r"(?:database|sql) (?:query|error|connection)\b", r"your session (?:has )?expired\b", r"you do not have permission to (?:view|access)\b",
-            r"this [\w ]{2,30} is (?:temporarily|currently) unavailable\b", r"der dienst steht (?:zurzeit|derzeit) nicht\b",
-            r"(?:please|you need to|you must|bitte|veuillez|merci d[’'])\s?(?:enable|turn on|allow|activate|activer|autoriser|aktivieren sie|erlauben sie)\b.{0,40}\b(?:java ?script|cookies|scripts?|skripte)\b",
-            r"java ?script is (?:disabled|required|not enabled|turned off)\b", r"if nothing happens, (?:turn on|enable) java ?script\b", r"(?:java ?)?scripts? (?:are|is) required\b",
-            r"(?:gateway|upstream|proxy|connection)\b.{0,60}\b(?:headers|timed out|timeout|refused|reset|dropped)\b", r"checking your browser\b", r"(?:ihr browser unterstützt|votre navigateur ne prend)\b", r"(?:les scripts|javascript) (?:sont|est) (?:bloqués|désactivés?)\b", r"javascript ist (?:deaktiviert|abgeschaltet|erforderlich)\b",
-        )
-    ),
-    re.I,
+FORMS = (
+    r"lorem ipsum\b", r"(?:x{2,}[\s.]*){3,}", r"(?:asdf|qwert)", r"(?:(?:test|blah|bla|tk)[ ,.]+){2,}",
+    r"(?:dies(?:er text)? ist (?:ein |nur )?)?(?:blindtext|platzhaltertext|mustertext)\b", r"hier steht (?:später|demnächst|bald)\b",
+    r"(?:ceci est un )?faux texte\b", r"texte (?:à venir|provisoire|de remplissage)\b",
+    r"(?:this is )?(?:a )?(?:sample|dummy|placeholder|filler) (?:paragraph|text|copy)\b", r"(?:\w+ ){0,2}(?:text|copy) (?:goes here|to follow|to come)\b",
+    r"(?:http )?(?:error|fehler|erreur)\s*:?\s*[1-5]\d\d\b", r"[45]\d\d\s*[-–:]?\s*(?:not found|forbidden|unauthorized|bad request|bad gateway|internal server|service unavailable|gateway time)",
+    r'\{\s*"(?:status|error|errors|code|message)"\s*:', r"traceback \(most recent call last\)",
+    r"(?:page not found|page introuvable|(?:die )?seite (?:wurde )?nicht gefunden|access denied|accès refusé|zugriff verweigert|service unavailable)[.!]?$",
+    r"die angeforderte seite\b", r"la page demandée\b", r"(?:oops!? )?we can[’']?t find the page\b", r"the page you (?:are looking for|requested)\b",
+    r"the server (?:could not|cannot|encountered|is temporarily)\b", r"(?:database|sql) (?:query|error|connection)\b", r"your session (?:has )?expired\b", r"you do not have permission to (?:view|access)\b",
+    r"this [\w ]{2,30} is (?:temporarily|currently) unavailable\b", r"der dienst steht (?:zurzeit|derzeit) nicht\b",
+    r"(?:please|you need to|you must|bitte|veuillez|merci d[’'])\s?(?:enable|turn on|allow|activate|activer|autoriser|aktivieren sie|erlauben sie)\b.{0,40}\b(?:java ?script|cookies|scripts?|skripte)\b",
+    r"java ?script is (?:disabled|required|not enabled|turned off)\b", r"if nothing happens, (?:turn on|enable) java ?script\b", r"(?:java ?)?scripts? (?:are|is) required\b",
+    r"(?:gateway|upstream|proxy|connection)\b.{0,60}\b(?:headers|timed out|timeout|refused|reset|dropped)\b", r"checking your browser\b", r"(?:ihr browser unterstützt|votre navigateur ne prend)\b", r"(?:les scripts|javascript) (?:sont|est) (?:bloqués|désactivés?)\b", r"javascript ist (?:deaktiviert|abgeschaltet|erforderlich)\b",
 )
 
 #: Where a passage needs a closer look before its words are taken.
-_SPECIAL = re.compile(r'["“„«‘{\[(<%$@#]|__')
+_SPECIAL = re.compile(r'["“„«‘{\[(<%$@#|~^*=]|__')
 #: The first three letters of what _TRUSTED begins with; its other forms are known by _ENDING.
 _BEGINNINGS = frozenset("lor xxx asd bla gat ups pro con qwe die bli pla mus hie cec fau tex thi sam dum fil htt err feh 400 401 403 404 405 408 410 429 500 501 502 503 504 pag sei acc zug ser oop we’ we' the dat sql you der ple bit veu mer jav scr che ihr vot les tes".split(" ")) | {"la ", "if ", "we ", "a s", "a d", "a p", "a f", "tk ", "tk,", "tk."}
 _ENDING = re.compile(r"\b(?:text|copy) (?:goes here|to follow|to come)\b", re.I)
@@ -115,29 +115,53 @@ def _words(text: str) -> list[bytes]:
     return text.encode("ascii").translate(_TO_WORD).split()
 
 
-def words(passage: str) -> tuple[list[bytes], bool]:
-    """Words of a passage, and whether its form is trusted.
+class Trusted:
+    """The forms whose passages are positives, by sentence (from its beginning) and by piece."""
 
-    An open field is one word whatever its notation. What is quoted is not said, so quoted words and fields are other words;
-    bracketed interruptions are left out.
+    def __init__(self, forms: tuple[str, ...] = FORMS, fields: tuple[str, ...] = FIELDS, tag: str = TAG):
+        never = r"(?!)"
+        self.sentence = re.compile("|".join(forms) or never, re.I)
+        self.piece = re.compile("|".join(fields) or never)
+        self.tag = re.compile(tag or never, re.I)
+
+    def is_piece(self, piece: str) -> bool:
+        return self.piece.match(piece) is not None or self.tag.match(piece) is not None
+
+
+def _of_piece(piece: str) -> list[bytes]:
+    """Words of a piece in unusual characters: its signs, the shape of what they hold, and that. Numbers and single square brackets, as of remarks, are no sign of anything."""
+    inner = _SIGNS.sub(" ", piece).strip()
+    plain = [b"zb" + w for w in _words(inner.replace("_", " "))]
+    if not any(c.isalpha() for c in inner):
+        return [b"zznumber", *plain]
+    shape = b"zzupper" if inner.isupper() else b"zzjoined" if "_" in inner or "." in inner[:-1] else b"zztext"
+    if piece.startswith("[") and not piece.startswith("[["):
+        return [shape, *plain] if shape == b"zzupper" else plain
+    return [*(b"zs%xn%d" % (ord(x[0]), len(x)) for x in _SIGNS.findall(piece)), b"zzodd", shape, *plain]
+
+
+def words(passage: str, trusted: Trusted) -> list[tuple[list[bytes], bool]]:
+    """(words, whether trusted) of a passage, then of each of its pieces in unusual characters.
+
+    A piece is one word of its passage. What is quoted is not said, so quoted words are other words; remarks in round brackets are
+    left out.
     """
     quoted: list[str] = []
-    said, trusted = passage, False
+    pieces: list[str] = []
+    said, sure = passage, False
     if _SPECIAL.search(said):
-        if "<" in said and _TAG.search(said):
-            trusted, said = True, _TAG.sub(" zzpage ", said)
         if not said.startswith('{"'):
             said = _QUOTED.sub(lambda m: quoted.append(m[0][1:-1]) or " zzquote ", said)
-        if _FIELD.search(said):
-            trusted, said = True, _FIELD.sub(" zzfield ", said)
-        trusted = trusted or _TRUSTED.match(said) is not None
+        sure = trusted.sentence.match(said) is not None
+        said = _ODD.sub(lambda m: pieces.append(m[0]) or " zzpiece ", said)
         said = _BRACKETS.sub(" ", said)
+        sure = sure or trusted.sentence.match(said.strip()) is not None
     elif said[:3].lower() in _BEGINNINGS or _ENDING.search(said):
-        trusted = _TRUSTED.match(said) is not None
+        sure = trusted.sentence.match(said) is not None
     found = _words(said)
     for q in quoted:
-        found += [b"q" + w for w in _words(_FIELD.sub(" zzfield ", q))]
-    return found, trusted
+        found += [b"q" + w for w in _words(_ODD.sub(" zzpiece ", q))]
+    return [(found, sure), *((_of_piece(p), trusted.is_piece(p)) for p in pieces)]
 
 
 def features(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +183,7 @@ def features(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     )
 
 
-def _encoded(texts: list[str | None], known: _Tokens) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _encoded(texts: list[str | None], known: _Tokens, forms: Trusted) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, trusted) of each passage with words, all tokens and offsets; so many words at a time."""
     rows: list[int] = []
     trusted: list[bool] = []
@@ -167,12 +191,12 @@ def _encoded(texts: list[str | None], known: _Tokens) -> Iterator[tuple[np.ndarr
     ends = [0]
     for row, text in enumerate(texts):
         for passage in passages(text):
-            found, sure = words(passage)
-            if found:
-                tokens += [known[w] for w in found]
-                ends.append(len(tokens))
-                rows.append(row)
-                trusted.append(sure)
+            for found, sure in words(passage, forms):
+                if found:
+                    tokens += [known[w] for w in found]
+                    ends.append(len(tokens))
+                    rows.append(row)
+                    trusted.append(sure)
         if rows and (len(tokens) > 400_000 or row == len(texts) - 1):
             yield np.array(rows), np.array(trusted), np.array(tokens, "int64"), np.array(ends)
             rows, trusted, tokens, ends = [], [], [], [0]
@@ -180,7 +204,7 @@ def _encoded(texts: list[str | None], known: _Tokens) -> Iterator[tuple[np.ndarr
         yield np.array(rows), np.array(trusted), np.array(tokens, "int64"), np.array(ends)
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterator[pd.DataFrame], forms: Trusted) -> Iterator[pd.DataFrame]:
     """Counts of each feature in all and in trusted passages, in parts; feature -1 counts the passages."""
     known, held, n, n_sure = _Tokens(), [], 0, 0
 
@@ -191,7 +215,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held.clear()
 
     for batch in batches:
-        for _, trusted, tokens, offsets in _encoded(batch.text.tolist(), known):
+        for _, trusted, tokens, offsets in _encoded(batch.text.tolist(), known, forms):
             of, f = features(tokens, offsets)
             held.append((f, f[trusted[of]]))
             n += len(trusted)
@@ -247,16 +271,17 @@ def _odds(keys: np.ndarray, weights: np.ndarray, tokens: np.ndarray, offsets: np
     return np.bincount(of, weights[_places(keys, f)], minlength=len(offsets) - 1)
 
 
-def fit_and_score(documents: DataFrame, *, doc_key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def fit_and_score(documents: DataFrame, *, doc_key: str = "doc_id", text: str = "text", forms: Trusted | None = None) -> DataFrame:
     """(doc_id, log_odds, n_passages): records with any passage that is not ruled out, by the log odds of the most suspicious one.
 
-    Positive log odds mean residue; a trusted passage has CLIP at least, also where speech follows it in the same sentence. Null, empty and word-less texts have no passages and so no row, as have rows with a null key; a
+    Positive log odds mean residue. ``forms`` are the trusted ones. Null, empty and word-less texts have no passages and so no row, as have rows with a null key; a
     key with several rows is judged by all of them. Repeated texts count and are reported each. Texts are read whole. Without any
     trusted passage nothing is learnt and nothing returned.
     """
     spark = documents.sparkSession
+    forms = forms or Trusted()
     source = documents.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null and text <> ''")
-    counts = checkpoint(source.mapInPandas(_counted, "feature long, n long, sure long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("sure").alias("sure")))
+    counts = checkpoint(source.mapInPandas(lambda batches: _counted(batches, forms), "feature long, n long, sure long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("sure").alias("sure")))
     seen = counts.where("feature < 0").head()
     total, trusted = (seen.n, seen.sure) if seen else (0, 0)
     schema = "doc_id long, tokens array<long>, trusted boolean"
@@ -271,7 +296,7 @@ def fit_and_score(documents: DataFrame, *, doc_key: str = "doc_id", text: str =
         known, (keys, weights) = _Tokens(), model.value
         for batch in batches:
             ids = batch.doc_id.to_numpy()
-            for rows, trusted_, tokens, offsets in _encoded(batch.text.tolist(), known):
+            for rows, trusted_, tokens, offsets in _encoded(batch.text.tolist(), known, forms):
                 keep = np.flatnonzero(trusted_ | (_odds(keys, weights, tokens, offsets) + prior >= FLOOR))
                 yield pd.DataFrame({"doc_id": ids[rows[keep]], "tokens": pd.Series([tokens[offsets[k] : offsets[k + 1]].tolist() for k in keep], dtype=object), "trusted": trusted_[keep]})
 
@@ -280,7 +305,7 @@ def fit_and_score(documents: DataFrame, *, doc_key: str = "doc_id", text: str =
     keys, every, share = vocabulary.feature.to_numpy(), vocabulary.n.to_numpy("float64"), trusted / total
     weights = _weights(every, vocabulary.sure.to_numpy("float64"), mass, distinct)
     known_keys = spark.sparkContext.broadcast(keys)
-    for _ in range(rounds):
+    while True:
         at = spark.sparkContext.broadcast((weights, _prior(share)))
 
         def expected(batches: Iterator[pd.DataFrame], at=at) -> Iterator[pd.DataFrame]:
@@ -314,7 +339,7 @@ def fit_and_score(documents: DataFrame, *, doc_key: str = "doc_id", text: str =
         for batch in batches:
             if len(batch):
                 odds = _odds(keys, w, *_laid_out(batch.tokens.tolist())) + base
-                yield pd.DataFrame({"doc_id": batch.doc_id, "log_odds": np.where(batch.trusted, np.maximum(odds, CLIP), odds)})
+                yield pd.DataFrame({"doc_id": batch.doc_id, "log_odds": odds})
 
     return kept.mapInPandas(scored, "doc_id long, log_odds double").groupBy("doc_id").agg(F.max("log_odds").alias("log_odds"), F.count("*").alias("n_passages"))
 
