@@ -66,3 +66,23 @@ def test_swapped_positions_that_stay_in_range(spark):
     right = [(101, "Elmby Ch.", 51.0001, 7.0, "Aldacre", 0, ""), (102, "Rudford Mill", 7.01, 51.0101, "Aldacre", 0, ""), (103, "Kelgate Road", 51.02, 7.02, "Falenport", 0, ""), (104, "Elmby Church", 30.1, 20.1, None, 0, "")]
     rows = link(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)).collect()
     assert sorted((r.b_id, r.a_id) for r in rows) == [(101, 1), (102, 2)]
+
+
+def test_neighbours_change_decisions(spark):
+    """A record without a side goes to the side that no other record takes, and a stop written twice keeps both."""
+    left = [(1, "Elmby Road (N)", 51.0, 7.0, "Aldacre", 0, ""), (2, "Elmby Road (S)", 51.00014, 7.0, "Aldacre", 0, ""), (3, "Rudford Mill", 51.01, 7.0, "Aldacre", 0, "")]
+    right = [(101, "Elmby Rd northbound", 51.00005, 7.0, "Aldacre", 0, ""), (102, "elmby road", 51.00006, 7.0, "Aldacre", 0, ""), (103, "Rudford Mill", 51.00999, 7.0, "Aldacre", 0, ""), (104, "Mill, Rudford", 51.01002, 7.0, "Aldacre", 0, "")]
+    a, b = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
+    alone = {(r.b_id, r.a_id) for r in link(a, b, propagate=False).collect()}
+    together = {(r.b_id, r.a_id) for r in link(a, b).collect()}
+    assert alone == {(101, 1), (102, 1), (103, 3), (104, 3)} and together == {(101, 1), (102, 2), (103, 3), (104, 3)}
+
+
+def test_towns_are_dropped_whatever_their_number(spark, monkeypatch):
+    left = [(i, f"Elmby Church {i}", 51.0 + i / 50, 7.0, f"Town{chr(97 + i)}", 0, "") for i in range(4)]
+    right = [(100 + i, f"Town{chr(97 + i)} - ELMBY CH. {i}", 51.0 + i / 50, 7.0, None, 0, "") for i in range(4)]
+    a, b = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
+    got = [sorted((r.b_id, r.a_id) for r in link(a, b).collect())]
+    monkeypatch.setattr("transloom.llm.linkage.BROADCAST_TOWNS", 0)
+    got.append(sorted((r.b_id, r.a_id) for r in link(a, b).collect()))
+    assert got[0] == got[1] == [(100 + i, i) for i in range(4)]

@@ -1,9 +1,9 @@
 """Entities of two sources without a common key: collective graph linkage.
 
 Records of both sides become nodes of a candidate graph; an edge weighs the rarity of the attributes that its ends share, and
-meta-blocking drops the edges that are weak for a node. Each edge that stays is scored by name, kind, designation (side, direction,
-platform), place and town. Then scores are refined: what the neighbours of a pair, the other pairs of the same place, agree on (the
-displacement between the surveys, which stops are already taken) is propagated until the scores are stable.
+meta-blocking drops the edges that are weak for a node. Each edge that stays is scored by that weight, name, kind, designation (side,
+direction, platform), place and town. Then scores are refined: a pair gains by the other pairs of the same place that hold, and loses
+by the other records that its stop is taken by, as much as such double takings are rare; this is propagated until scores are stable.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from transloom.common import at_most, checkpoint
-from transloom.functions.geo import EARTH_RADIUS, haversine
+from transloom.common import broadcast_if_small, checkpoint
+from transloom.functions.geo import haversine
 
 #: Metres that two surveys of a stop may be apart.
 REACH_M = 300.0
@@ -25,10 +26,14 @@ REACH_M = 300.0
 CELL = 0.003
 #: Meta-blocking keeps the edges of a node that weigh at least this part of its heaviest one.
 KEEP = 0.5
-#: Rounds of propagation at most, and the largest change of a score that counts as stable.
-ROUNDS, STABLE = 5, 0.05
-#: Towns that may be broadcast as a list of words to drop from names; beyond that only a record's own town is dropped.
-MOST_TOWNS = 50_000
+#: The largest change of a score that counts as stable.
+STABLE = 0.05
+#: What a pair gains at most by its neighbours.
+SUPPORT = 1.0
+#: Evidence of the graph's weight: its unit, and the weight that says nothing.
+RARITY_UNIT, RARITY_MIDDLE = 30.0, 30.0
+#: Towns that may be broadcast to the join with words; more are joined by a shuffle.
+BROADCAST_TOWNS = 200_000
 
 #: Kinds of place by their spellings in English, German and French, without accents.
 KINDS = {
@@ -114,14 +119,28 @@ def read_name(name: str | None, town: str | None, towns: frozenset[str]) -> tupl
     return " ".join(place), kind, side, "".join(sorted([*place, *([kind] if kind else [])])), written
 
 
-def _named(rows: DataFrame, towns: frozenset[str]) -> DataFrame:
-    fields = [f for f in rows.schema.fields if f.name not in ("name",)]
+def _plain_words(texts: pd.Series) -> pd.Series:
+    return pd.Series([sorted(set(_WORD.findall(_plain(t)))) if t else [] for t in texts], dtype=object)
+
+
+def _town_words(rows: DataFrame, towns: DataFrame) -> DataFrame:
+    """rows with town_words: the words of their names that are names of towns, found by a join."""
+    words = F.pandas_udf(_plain_words, "array<string>")
+    plain = F.pandas_udf(lambda texts: texts.map(_plain), "string")
+    known = towns.select(plain("town").alias("word")).distinct()
+    spelt = rows.where("name is not null").select("id", F.explode(words("name")).alias("word"))
+    found = spelt.join(broadcast_if_small(checkpoint(known), BROADCAST_TOWNS), "word").groupBy("id").agg(F.collect_set("word").alias("town_words"))
+    return rows.join(found, "id", "left")
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    fields = [f for f in rows.schema.fields if f.name not in ("name", "town_words")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", place string, kind string, side string, whole string, written string"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [read_name(n, t, towns) for n, t in zip(batch.name, batch.town)]
-            out = batch.drop(columns="name")
+            parts = [read_name(n, t, frozenset(w) if w is not None else frozenset()) for n, t, w in zip(batch.name, batch.town, batch.town_words)]
+            out = batch.drop(columns=["name", "town_words"])
             for k, column in enumerate(("place", "kind", "side", "whole", "written")):
                 out[column] = [p[k] for p in parts]
             yield out
@@ -151,32 +170,38 @@ def _cell(row: Column, lon: Column, step: int = 0) -> Column:
 
 
 def _attributes(rows: DataFrame) -> DataFrame:
-    """Each row once for every attribute: letter triples of its place, its place, its kind."""
+    """Each row once for every attribute: letter triples of its place, and its place. Kinds are too common to be keys."""
     padded = F.concat(F.lit("^"), F.regexp_replace("place", " ", ""), F.lit("$"))
     triples = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - 2)), lambda i: F.substring(padded, i, F.lit(3)))
-    every = F.array_distinct(F.concat(triples, F.array(F.concat(F.lit("p:"), "place"), F.concat(F.lit("k:"), "kind"))))
+    every = F.array_distinct(F.concat(triples, F.array(F.concat(F.lit("p:"), "place"))))
     return rows.select("*", F.explode(every).alias("attribute"))
 
 
-def _edges(left: DataFrame, right: DataFrame) -> DataFrame:
+def _rarity(left: DataFrame) -> DataFrame:
+    """(attribute, rarity) by the records of the first source."""
+    return _attributes(left.select("a_id", "place")).groupBy("attribute").agg(F.count("*").alias("df")).select("attribute", F.log1p(left.agg(F.count("*")).scalar() / F.col("df")).alias("rarity"))
+
+
+def _edges(left: DataFrame, right: DataFrame, rarity: DataFrame) -> DataFrame:
     """(a_id, b_id, weight): pairs within reach by the grid; weight is the rarity of what they share."""
-    rarity = (
-        _attributes(left.select("a_id", "place", "kind")).groupBy("attribute").agg(F.count("*").alias("df"))
-        .select("attribute", F.log1p(left.agg(F.count("*")).scalar() / F.col("df")).alias("rarity"))
-    )
     row = F.floor(F.col("lat") / CELL).cast("long")
-    a = _attributes(left.where("lat is not null and place <> ''").select("a_id", "place", "kind", _cell(row, F.col("lon")).alias("cell"))).drop("place", "kind")
+    a = _attributes(left.where("lat is not null and place <> ''").select("a_id", "place", _cell(row, F.col("lon")).alias("cell"))).drop("place").join(rarity, "attribute")
     around = F.array_distinct(F.flatten(F.array(*[F.array(*[_cell(row + dr, F.col("lon"), dc) for dc in (-1, 0, 1)]) for dr in (-1, 0, 1)])))
-    b = _attributes(right.where("lat is not null and place <> ''").select("b_id", "place", "kind", around.alias("cells"))).select("b_id", "attribute", F.explode("cells").alias("cell"))
-    return a.join(b, ["cell", "attribute"]).join(rarity, "attribute").groupBy("a_id", "b_id").agg(F.sum("rarity").alias("weight"))
+    b = _attributes(right.where("lat is not null and place <> ''").select("b_id", "place", around.alias("cells"))).select("b_id", "attribute", F.explode("cells").alias("cell"))
+    return a.join(b, ["cell", "attribute"]).groupBy("a_id", "b_id").agg(F.sum("rarity").alias("weight"))
 
 
 def _unplaced(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a_id, b_id): pairs where either has no position; such a place is known by its whole name, in the same town where both name one."""
-    by_name = left.where("whole <> ''").select("a_id", "whole", F.col("town").alias("a_town"), F.col("lat").isNull().alias("a_lost")).join(
-        right.where("whole <> ''").select("b_id", "whole", F.col("town").alias("b_town"), F.col("lat").isNull().alias("b_lost")), "whole"
-    )
-    return by_name.where("(a_lost or b_lost) and coalesce(a_town = b_town, true)").select("a_id", "b_id")
+    """(a_id, b_id): pairs where either has no position; such a place is known by its whole name, in the same town where both name one.
+
+    Keys are the name with the town. A record that names none has a key of the name alone, which the other side's records have too.
+    """
+    key = lambda kind, *parts: F.concat_ws("|", F.lit(kind), *parts)
+    a_keys = F.when(F.col("town").isNull(), F.array(key("a", "whole"))).otherwise(F.array(key("t", "whole", "town"), key("b", "whole")))
+    b_keys = F.when(F.col("town").isNull(), F.array(key("a", "whole"), key("b", "whole"))).otherwise(F.array(key("t", "whole", "town"), key("a", "whole")))
+    a = left.where("whole <> ''").select("a_id", F.col("lat").isNull().alias("lost"), F.explode(a_keys).alias("key"))
+    b = right.where("whole <> ''").select("b_id", F.col("lat").isNull().alias("lost"), F.explode(b_keys).alias("key"))
+    return a.where("lost").drop("lost").join(b.drop("lost"), "key").unionByName(a.where("not lost").drop("lost").join(b.where("lost").drop("lost"), "key")).select("a_id", "b_id")
 
 
 def _crossed(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -200,11 +225,11 @@ def _crossed(left: DataFrame, right: DataFrame) -> DataFrame:
 def _pruned(edges: DataFrame) -> DataFrame:
     """(a_id, b_id) by weighted node pruning: an edge stays if it is strong for its record of the second source."""
     best = edges.groupBy("b_id").agg(F.max("weight").alias("best"))
-    return edges.join(best, "b_id").where(F.col("weight") >= KEEP * F.col("best")).select("a_id", "b_id")
+    return edges.join(best, "b_id").where(F.col("weight") >= KEEP * F.col("best")).select("a_id", "b_id", "weight")
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
-    """Log odds of each pair by itself, and its displacement in metres."""
+    """Log odds of each pair by itself, and its distance in metres."""
     whole = 1 - F.levenshtein("a_whole", "b_whole") / F.greatest(F.length("a_whole"), F.length("b_whole"), F.lit(1))
     place = 1 - F.levenshtein("a_place", "b_place") / F.greatest(F.length("a_place"), F.length("b_place"), F.lit(1))
     written = 1 - F.levenshtein("a_written", "b_written") / F.greatest(F.length("a_written"), F.length("b_written"), F.lit(1))
@@ -220,70 +245,85 @@ def _scored(pairs: DataFrame) -> DataFrame:
     types = F.when((F.col("a_type") == 1) & (F.col("b_type") == 1), 1.5).when(F.coalesce(F.col("a_type") != F.col("b_type"), F.lit(False)), -1.5).otherwise(0.0)
     town = F.when(F.col("a_town") == F.col("b_town"), 0.5).when(F.coalesce(F.col("a_town") != F.col("b_town"), F.lit(False)), -2.0).otherwise(0.0)
     metres = haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    distance = F.when(metres.isNull(), -2.0).when(metres > REACH_M, -12.0).otherwise(2 + F.log(0.8 * F.exp(-metres / 12) + 0.02))
-    to_m = EARTH_RADIUS * 3.141592653589793 / 180
-    turn = F.pmod(F.col("b_lon") - F.col("a_lon") + 180, F.lit(360.0)) - 180
-    return pairs.withColumns({
-        "alike": alike, "metres": metres,
-        "own": 40 * (alike - 0.8) + kinds + sides + types + town + distance,
-        "north": (F.col("b_lat") - F.col("a_lat")) * to_m, "east": turn * to_m * F.cos(F.radians("a_lat")),
-    })
+    distance = F.when(metres.isNull(), -2.0).when(metres > REACH_M, -12.0).otherwise(F.greatest(F.lit(-1.9), 4.5 - 2.2 * F.log1p(metres / 2)))
+    rare = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("weight") - RARITY_MIDDLE) / RARITY_UNIT))
+    return pairs.withColumns({"metres": metres, "own": 40 * (alike - 0.8) + kinds + sides + types + town + distance + rare})
 
 
 def _chance(score: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), score))))
 
 
-def link(left: DataFrame, right: DataFrame) -> DataFrame:
+def _refined(state: DataFrame) -> DataFrame:
+    """Pairs (a_id, b_id, own, metres, place, score) with the scores that no round changes any more.
+
+    Only pairs whose record or stop has another candidate take part. Steps shrink from round to round, so that scores that would
+    swing come to rest; then the loop ends.
+    """
+    held = lambda df: df.withColumn("held", _chance(F.col("score")) * F.exp(F.least(F.lit(30.0), F.col("score"))) / F.sum(F.exp(F.least(F.lit(30.0), F.col("score")))).over(Window.partitionBy("b_id")))
+    shared = lambda c: F.count("*").over(Window.partitionBy(c)) > 1
+    # a stop that is taken counts against a record only as far as it has another one to go to
+    elsewhere = F.least(F.lit(1.0), F.sum(_chance(F.col("own"))).over(Window.partitionBy("b_id")) - _chance(F.col("own")))
+    counted = checkpoint(state.withColumns({"contested": shared("a_id"), "open": shared("b_id"), "sited": shared("place"), "elsewhere": elsewhere}))
+    fixed = counted.where("not (contested or open or sited)").select(*state.columns)
+    state = counted.where("contested or open or sited").select(*state.columns, "elsewhere")
+    # how rare it is that a stop is taken twice
+    taken = held(state).groupBy("a_id").agg(F.sum("held").alias("n")).agg(F.count(F.when(F.col("n") > 0.5, 1)).alias("once"), F.count(F.when(F.col("n") > 1.5, 1)).alias("twice")).head()
+    penalty = float(np.log((taken.once + 2) / (taken.twice + 1)))
+    round_ = 0
+    while True:
+        round_ += 1
+        weighted = held(state)
+        in_place = weighted.groupBy("place").agg(F.sum("held").alias("p_held"))
+        of_stop = weighted.groupBy("a_id").agg(F.sum("held").alias("a_held"))
+        joined = weighted.join(in_place, "place").join(of_stop, "a_id")
+        others = F.col("p_held") - F.col("a_held")
+        support = SUPPORT * F.least(F.lit(1.0), F.greatest(F.lit(0.0), others))
+        claimed = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("a_held") - F.col("held")))
+        step = min(0.8, 3 / (round_ + 2))
+        new = F.col("score") + step * (F.col("own") + support - penalty * claimed * F.col("elsewhere") - F.col("score"))
+        moved = checkpoint(joined.select("a_id", "b_id", "own", "metres", "place", "elsewhere", new.alias("score"), F.abs(new - F.col("score")).alias("moved")))
+        most = moved.agg(F.max("moved").alias("m")).head().m
+        state = moved.drop("moved")
+        if most is None or most <= STABLE:
+            return fixed.unionByName(state.drop("elsewhere"))
+
+
+def link(left: DataFrame, right: DataFrame, *, propagate: bool = True) -> DataFrame:
     """(a_id, b_id, confidence): of each record of ``right`` the record of ``left`` that describes the same entity, if there is one.
 
     Both sides have id (long, unique), name, lat, lon, town and type. Null or empty names match nothing; a missing or impossible
     position leaves the whole name, with the town where both name one, as does one that is near only with its latitude and longitude
     swapped. Several records of ``right`` may match one of ``left``. Of
     equal scores the nearer, then the smaller id wins. Repeated rows of an id count once; an empty side gives no match. Confidence
-    lies between 0 and 1.
+    lies between 0 and 1. Without ``propagate`` each pair is judged by itself.
     """
     columns = ("id", "name", "lat", "lon", "town", "type")
-    town_names = right.select("town").union(left.select("town")).where("town is not null").distinct()
-    towns = frozenset(_plain(r.town) for r in town_names.collect()) if at_most(town_names, MOST_TOWNS) else frozenset()
+    towns = right.select("town").union(left.select("town")).where("town is not null").distinct()
     sides = []
     for rows, prefix in ((left, "a"), (right, "b")):
-        named = _named(_located(rows.select(*columns).where("id is not null").dropDuplicates(["id"])), towns)
+        once = checkpoint(rows.select(*columns).where("id is not null").dropDuplicates(["id"]))
+        named = _named(_located(_town_words(once, towns)))
         sides.append(checkpoint(named.select(F.col("id").alias(f"{prefix}_id"), "lat", "lon", "town", "type", "place", "kind", "side", "whole", "written")))
     a, b = sides
-    # a whole name is evidence enough that no near record may push it out
-    known = _pruned(_edges(a, b)).unionByName(_unplaced(a, b)).withColumn("crossed", F.lit(False)).unionByName(_crossed(a, b).withColumn("crossed", F.lit(True)))
-    edges = known.groupBy("a_id", "b_id").agg(F.max("crossed").alias("crossed"))
+    rarity = checkpoint(_rarity(a))
+    # a whole name is evidence enough that no near record may push it out; what such a pair shares is all that its stop has
+    near = _pruned(_edges(a, b, rarity)).withColumn("crossed", F.lit(False))
+    named = _unplaced(a, b).withColumn("crossed", F.lit(False)).unionByName(_crossed(a, b).withColumn("crossed", F.lit(True)))
+    full = _attributes(a.select("a_id", "place")).join(rarity, "attribute").groupBy("a_id").agg(F.sum("rarity").alias("weight"))
+    known = near.unionByName(named.join(full, "a_id"))
+    edges = known.groupBy("a_id", "b_id").agg(F.max("crossed").alias("crossed"), F.max("weight").alias("weight"))
     with_a = edges.join(a.select("a_id", *[F.col(c).alias(f"a_{c}") for c in ("lat", "lon", "town", "type", "place", "kind", "side", "whole", "written")]), "a_id")
     pairs = with_a.join(b.select("b_id", *[F.col(c).alias(f"b_{c}") for c in ("lat", "lon", "town", "type", "place", "kind", "side", "whole", "written")]), "b_id")
     # which of two swapped positions is right is not known: such a pair is scored as one without
     pairs = pairs.withColumns({c: F.when(~F.col("crossed"), F.col(c)) for c in ("a_lat", "a_lon")})
     row = F.floor(F.col("a_lat") / (4 * CELL)).cast("long")
-    scored = _scored(pairs).where("own > -8").select(
-        "a_id", "b_id", "own", "metres", "north", "east", F.xxhash64("a_place", "a_kind", row, F.floor(F.col("a_lon") / (4 * CELL))).alias("place"), F.col("own").alias("score")
+    state = _scored(pairs).where("own > -8").select(
+        "a_id", "b_id", "own", "metres", F.xxhash64("a_place", "a_kind", row, F.floor(F.col("a_lon") / (4 * CELL))).alias("place"), F.col("own").alias("score")
     )
-    state = checkpoint(scored)
-    for _ in range(ROUNDS):
-        chance = _chance(F.col("score"))
-        power = F.exp(F.least(F.lit(30.0), F.col("score")))
-        per_b = state.groupBy("b_id").agg(F.sum(power).alias("all_b"))
-        weighted = state.join(per_b, "b_id").withColumn("held", chance * power / F.col("all_b"))
-        # what the pairs of a place agree on, and how far each stop is taken
-        agreed = weighted.groupBy("place").agg(
-            F.sum("held").alias("p_held"), F.sum(F.col("held") * F.col("north")).alias("p_north"), F.sum(F.col("held") * F.col("east")).alias("p_east")
-        )
-        taken = weighted.groupBy("a_id").agg(F.sum("held").alias("a_held"))
-        joined = weighted.join(agreed, "place").join(taken, "a_id")
-        others = F.col("p_held") - F.col("held")
-        off = F.hypot(F.col("north") - (F.col("p_north") - F.col("held") * F.col("north")) / others, F.col("east") - (F.col("p_east") - F.col("held") * F.col("east")) / others)
-        support = F.when((others > 0.3) & off.isNotNull(), F.least(others, F.lit(2.0)) * (F.exp(-off / 20) - 0.4)).otherwise(0.0)
-        claimed = F.least(F.lit(1.0), F.col("a_held") - F.col("held"))
-        new = joined.select("a_id", "b_id", "own", "metres", "north", "east", "place", (F.col("own") + 0.3 * support - 0.3 * claimed).alias("score"), F.col("score").alias("last"))
-        state = checkpoint(new)
-        moved = state.agg(F.max(F.abs(F.col("score") - F.col("last"))).alias("m")).head().m
-        state = state.drop("last")
-        if moved is None or moved <= STABLE:
-            break
+    state = checkpoint(state)
+    if propagate:
+        state = _refined(state)
     best = state.groupBy("b_id").agg(
         F.min(F.struct((-F.col("score")).alias("s"), F.coalesce("metres", F.lit(1e9)).alias("m"), F.col("a_id").alias("a_id"))).alias("top"), F.sum(F.exp(F.least(F.lit(30.0), F.col("score")))).alias("every")
     )
