@@ -20,17 +20,21 @@ def time_front(labels: DataFrame, keys: list[str], departure: str = "departure_t
 def boardings_front(labels: DataFrame, keys: list[str], departure: str = "departure_time", arrival: str = "arrival_time_target", boardings: str = "n_boardings") -> DataFrame:
     """Labels per key that are not dominated in departure, arrival and boardings; equal ones collapse to one.
 
-    Boardings are few: for each number that occurs, the running minimum over labels with no more boardings decides.
+    For each number of boardings that a key has, the running minimum over its labels with no more decides; no pair of labels is formed.
+    Labels with a null in one of the three are left out.
     """
     rest = [c for c in labels.columns if c not in (*keys, departure, arrival, boardings)]
     whole = labels.where(F.col(departure).isNotNull() & F.col(arrival).isNotNull() & F.col(boardings).isNotNull())
-    numbers = [r.n for r in whole.select(F.col(boardings).alias("n")).distinct().orderBy("n").collect()]
-    before = Window.partitionBy(*keys).orderBy(F.desc(departure), F.asc(arrival), F.asc(boardings), *rest).rowsBetween(Window.unboundedPreceding, -1)
-    best = F.lit(None).cast(dict(whole.dtypes)[arrival])
-    for n in numbers:
-        best = F.when(F.col(boardings) == n, F.min(F.when(F.col(boardings) <= n, F.col(arrival))).over(before)).otherwise(best)
-    marked = whole.withColumn("best_", best)
-    return marked.where(F.col("best_").isNull() | (F.col(arrival) < F.col("best_"))).drop("best_")
+    few = whole.groupBy(*keys).agg(F.collect_set(boardings).alias("ns_"))
+    same = F.lit(True)
+    renamed = few.select(*[F.col(k).alias(f"of_{k}") for k in keys], "ns_")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    # one row for every number of boardings from its own on: the running minimum within (key, number) then bounds all with that number
+    spread = whole.join(renamed, same).select(*labels.columns, F.explode(F.filter("ns_", lambda n: n >= F.col(boardings))).alias("upto_"))
+    running = Window.partitionBy(*keys, "upto_").orderBy(F.desc(departure), F.asc(arrival), F.asc(boardings), *rest).rowsBetween(Window.unboundedPreceding, -1)
+    marked = spread.withColumn("best_", F.min(arrival).over(running)).where(F.col("upto_") == F.col(boardings))
+    return marked.where(F.col("best_").isNull() | (F.col(arrival) < F.col("best_"))).select(*labels.columns)
 
 
 def merged_fronts(labels: DataFrame, others: DataFrame, keys: list[str], **columns) -> DataFrame:

@@ -13,7 +13,8 @@ from transloom.common import checkpoint
 from transloom.operators.pareto import boardings_front, time_front
 
 CONNECTION = ["departure_stop", "arrival_stop", "departure_time", "arrival_time", "trip_id", "seq"]
-MOST_BOARDINGS = 16
+#: Of a label: the ride that it begins with, the stop and time it goes on from, and the time spent moving.
+ROUTE = ["trip_id", "seq", "alight_stop", "alight_time", "alight_seq", "next_stop", "walk_s", "next_departure", "movement"]
 
 
 def connections(events: DataFrame) -> DataFrame:
@@ -65,48 +66,66 @@ def next_departures(arrivals: DataFrame, departures: DataFrame, keys: list[str],
     return found.select("row_.*", *[F.col(f"found_.{c}").alias(f"next_{c}") for c in (departure, *columns)])
 
 
-def journey_profiles(conns: DataFrame, targets: DataFrame, walks: DataFrame, *, margin: float = 0, speed: float = 1.5, most_boardings: int = MOST_BOARDINGS) -> DataFrame:
-    """(target, stop, departure_time, arrival_time_target, n_boardings): the Pareto-optimal journeys of every stop to each target (target, stop).
+def journey_profiles(conns: DataFrame, targets: DataFrame, walks: DataFrame, *, margin: float = 0, speed: float = 1.5, most_boardings: int | None = None) -> DataFrame:
+    """(target, stop, departure_time, arrival_time_target, n_boardings, first_walk_s, board_stop, trip_id, seq, alight_stop, alight_time, alight_seq, next_stop, walk_s, next_departure, movement): the Pareto-optimal journeys of every stop to each target (target, stop).
 
     Round n finds the journeys with n boardings: from a connection one walks on to the target, stays in the trip, or changes with
-    ``margin``, at once or after one walk, to the best journey of n-1 boardings that is still caught. Journeys may begin with one
-    walk. What is no better than walking all the way is left out.
+    ``margin``, at once or after one walk, to the best journey of n-1 boardings that is still caught. Rounds end when one finds
+    nothing new, or at ``most_boardings`` if given. Journeys may begin with one walk. What is no better than walking all the way is
+    left out. Of equal journeys the one that moves least. The columns from board_stop on say how it begins: which ride, where it goes
+    on (null next_departure: at the target), so that ``journeys.legs`` can follow it.
     """
     legs = checkpoint(conns.select(*CONNECTION))
     paths = walks.select("from_stop_I", "to_stop_I", (F.col("d_walk") / speed).alias("walk_s"))
-    on_foot = targets.select("target", "stop", F.lit(0.0).alias("foot")).unionByName(
-        targets.join(paths, F.col("stop") == F.col("to_stop_I")).select("target", F.col("from_stop_I").alias("stop"), F.col("walk_s").alias("foot"))
-    ).groupBy("target", "stop").agg(F.min("foot").alias("foot"))
-    by_foot = legs.join(on_foot, F.col("arrival_stop") == F.col("stop")).select("target", *CONNECTION, (F.col("arrival_time") + F.col("foot")).alias("reached"))
+    on_foot = targets.select("target", "stop", F.lit(0.0).alias("foot"), F.col("stop").alias("end")).unionByName(
+        targets.join(paths, F.col("stop") == F.col("to_stop_I")).select("target", F.col("from_stop_I").alias("stop"), F.col("walk_s").alias("foot"), F.col("stop").alias("end"))
+    ).groupBy("target", "stop").agg(F.min(F.struct("foot", "end")).alias("f")).select("target", "stop", "f.foot", "f.end")
+    # what goes on after a connection: when the target is reached, the moment of alighting and all movement after it, and the way
+    onward = lambda reached, after, stop, walk, departure: F.struct(
+        reached.cast("double").alias("reached"), (F.col("arrival_time") + after).cast("double").alias("moved"), F.col("arrival_stop").alias("alight_stop"), F.col("arrival_time").cast("double").alias("alight_time"),
+        F.col("seq").alias("alight_seq"), stop.alias("next_stop"), walk.cast("double").alias("walk_s"), departure.cast("double").alias("next_departure"),
+    ).alias("onward")
+    by_foot = legs.join(on_foot, F.col("arrival_stop") == F.col("stop")).select("target", *CONNECTION, onward(F.col("arrival_time") + F.col("foot"), F.col("foot"), F.col("end"), F.col("foot"), F.lit(None)))
     to_go = on_foot.select("target", F.col("stop").alias("departure_stop"), "foot")
+    at_once = legs.select(F.col("arrival_stop").alias("stop"), (F.col("arrival_time") + margin).cast("double").alias("ready"), F.lit(0.0).alias("walk_s"), *CONNECTION)
+    walked = legs.join(paths, F.col("arrival_stop") == F.col("from_stop_I")).select(F.col("to_stop_I").alias("stop"), (F.col("arrival_time") + F.col("walk_s") + margin).cast("double").alias("ready"), "walk_s", *CONNECTION)
+    changes = checkpoint(at_once.unionByName(walked))
+    # staying in the trip: the best that this or any later connection of it reaches, by one pass from the trip's end
+    later = Window.partitionBy("target", "trip_id").orderBy(F.desc("departure_time"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known: DataFrame | None = None
     fresh: DataFrame | None = None
-    for boardings in range(1, most_boardings + 1):
+    boardings = 0
+    while most_boardings is None or boardings < most_boardings:
+        boardings += 1
         if boardings == 1:
             reached = by_foot
         else:
-            at_once = legs.select(F.col("arrival_stop").alias("stop"), (F.col("arrival_time") + margin).cast("double").alias("ready"), *CONNECTION)
-            walked = legs.join(paths, F.col("arrival_stop") == F.col("from_stop_I")).select(F.col("to_stop_I").alias("stop"), (F.col("arrival_time") + F.col("walk_s") + margin).cast("double").alias("ready"), *CONNECTION)
-            ready = at_once.unionByName(walked).join(known.select("target", "stop").distinct(), "stop")
+            ready = changes.join(known.select("target", "stop").distinct(), "stop")
             # with fewer boardings allowed than known, the fastest is all that counts: the first that is caught
-            fastest = time_front(known.drop("n_boardings"), ["target", "stop"])
-            caught = next_departures(ready, fastest, ["target", "stop"], "ready", "departure_time", ["arrival_time_target"])
-            reached = caught.where("next_arrival_time_target is not null").select("target", *CONNECTION, F.col("next_arrival_time_target").alias("reached"))
-        # staying in the trip: the best that this or any later connection of it reaches
-        best = reached.groupBy("target", *CONNECTION).agg(F.min("reached").alias("reached"))
-        spread = best.select("target", "trip_id", F.struct("departure_time", "seq").alias("until"), "reached")
-        stay = legs.join(spread, "trip_id").where(F.struct("departure_time", "seq") <= F.col("until")).groupBy("target", F.col("departure_stop"), "departure_time").agg(F.min("reached").alias("arrival_time_target"))
-        better = stay.join(to_go, ["target", "departure_stop"], "left").where("foot is null or arrival_time_target < departure_time + foot")
-        made = time_front(better.select("target", F.col("departure_stop").alias("stop"), F.col("departure_time").cast("double").alias("departure_time"), F.col("arrival_time_target").cast("double").alias("arrival_time_target")), ["target", "stop"])
-        made = made.withColumn("n_boardings", F.lit(boardings))
+            fastest = time_front(known.select("target", "stop", "departure_time", "arrival_time_target", "movement"), ["target", "stop"])
+            caught = next_departures(ready, fastest, ["target", "stop"], "ready", "departure_time", ["arrival_time_target", "movement"]).where("next_arrival_time_target is not null")
+            reached = caught.select("target", *CONNECTION, onward(F.col("next_arrival_time_target"), F.col("walk_s") + F.col("next_movement"), F.col("stop"), F.col("walk_s"), F.col("next_departure_time")))
+        best = reached.groupBy("target", *CONNECTION).agg(F.min("onward").alias("onward"))
+        rides = best.select("target", "trip_id").distinct().join(legs, "trip_id").select("target", *CONNECTION)
+        passed = rides.join(best, ["target", *CONNECTION], "left").withColumn("onward", F.min("onward").over(later)).where("onward is not null")
+        stay = passed.select("target", "departure_stop", F.col("departure_time").cast("double").alias("departure_time"), "trip_id", "seq", "onward.*").join(to_go, ["target", "departure_stop"], "left")
+        better = stay.where("foot is null or reached < departure_time + foot")
+        made = better.groupBy("target", F.col("departure_stop").alias("stop"), "departure_time").agg(F.min(F.struct("reached", (F.col("moved") - F.col("departure_time")).alias("movement"), *ROUTE[:-1])).alias("m"))
+        made = time_front(made.select("target", "stop", "departure_time", F.col("m.reached").alias("arrival_time_target"), F.lit(boardings).alias("n_boardings"), *[f"m.{c}" for c in ROUTE]), ["target", "stop"])
         fresh = checkpoint(boardings_front(made if known is None else known.unionByName(made), ["target", "stop"]))
         if known is not None and fresh.where(F.col("n_boardings") == boardings).isEmpty():
             break
         known = fresh
-    walked = fresh.join(paths, F.col("stop") == F.col("to_stop_I")).select("target", F.col("from_stop_I").alias("stop"), (F.col("departure_time") - F.col("walk_s")).alias("departure_time"), "arrival_time_target", "n_boardings")
-    walked = walked.join(targets.select("target", "stop"), ["target", "stop"], "left_anti")
-    every = fresh.unionByName(walked).join(on_foot, ["target", "stop"], "left").where("foot is null or arrival_time_target - departure_time < foot").drop("foot")
-    return boardings_front(every, ["target", "stop"])
+    begun = fresh.withColumns({"first_walk_s": F.lit(0.0), "board_stop": F.col("stop")})
+    on_way = fresh.join(paths.withColumnRenamed("walk_s", "first_walk_s"), F.col("stop") == F.col("to_stop_I")).select(
+        "target", F.col("from_stop_I").alias("stop"), (F.col("departure_time") - F.col("first_walk_s")).alias("departure_time"), "arrival_time_target", "n_boardings", *ROUTE[:-1], (F.col("movement") + F.col("first_walk_s")).alias("movement"), "first_walk_s", F.col("stop").alias("board_stop")
+    )
+    on_way = on_way.join(targets.select("target", "stop"), ["target", "stop"], "left_anti")
+    every = begun.unionByName(on_way).join(on_foot.drop("end"), ["target", "stop"], "left").where("foot is null or arrival_time_target - departure_time < foot").drop("foot")
+    # of equal ones the least movement
+    first = ["movement", "first_walk_s", "board_stop", *ROUTE[:-1]]
+    one = every.groupBy("target", "stop", "departure_time", "arrival_time_target", "n_boardings").agg(F.min(F.struct(*first)).alias("m")).select("target", "stop", "departure_time", "arrival_time_target", "n_boardings", "m.*")
+    return boardings_front(one, ["target", "stop"])
 
 
 def pseudo_connections(conns: DataFrame, walks: DataFrame, *, margin: float = 0, speed: float = 1.5, start_time: float, end_time: float) -> DataFrame:
@@ -129,3 +148,21 @@ def spreading(conns: DataFrame, start_stop: int, walks: DataFrame, *, start_time
     whole = walks.withColumn("d_walk", F.floor(F.col("d_walk") / walk_speed) * walk_speed)
     found = earliest_arrivals(usable, seeds, whole, margin=min_transfer_time, speed=walk_speed, chained_walks=True)
     return found.where(F.col("arrival_time") <= limit).select("stop", F.col("arrival_time").alias("visit_time"))
+
+
+def spreading_trips(conns: DataFrame, visits: DataFrame, walks: DataFrame, start_stop: int, *, min_transfer_time: float = 30, walk_speed: float = 0.5) -> DataFrame:
+    """(from_stop_I, to_stop_I, departure_time, arrival_time, trip_id): of each stop that ``spreading`` visits the move that first reaches it, walks with trip -1; of moves at one time the vehicle with the smallest trip, then the smallest stop.
+
+    A vehicle counts if its stop was visited in time to board, or if it was boarded at a stop before.
+    """
+    at = visits.select(F.col("stop").alias("departure_stop"), F.col("visit_time").alias("since"))
+    ready = F.col("departure_stop") == F.lit(start_stop)
+    boarded = conns.join(at, "departure_stop").where(F.when(ready, F.col("since") <= F.col("departure_time")).otherwise(F.col("since") + min_transfer_time <= F.col("departure_time")))
+    first = boarded.groupBy("trip_id").agg(F.min(F.struct("departure_time", "seq")).alias("first"))
+    ridden = conns.join(first, "trip_id").where(F.struct("departure_time", "seq") >= F.col("first")).select("departure_stop", "arrival_stop", F.col("departure_time").cast("double"), F.col("arrival_time").cast("double"), F.col("trip_id").cast("string").alias("trip_id"))
+    on_foot = walks.join(at, F.col("from_stop_I") == F.col("departure_stop")).select("departure_stop", F.col("to_stop_I").alias("arrival_stop"), F.col("since").alias("departure_time"), (F.col("since") + F.floor(F.col("d_walk") / walk_speed)).alias("arrival_time"), F.lit("-1").alias("trip_id"))
+    goal = visits.select(F.col("stop").alias("arrival_stop"), F.col("visit_time").alias("arrival_time")).where(F.col("stop") != start_stop)
+    moves = ridden.unionByName(on_foot).join(goal, ["arrival_stop", "arrival_time"])
+    return moves.groupBy("arrival_stop", "arrival_time").agg(F.min(F.struct((F.col("trip_id") == "-1").alias("w"), "trip_id", "departure_stop", "departure_time")).alias("m")).select(
+        F.col("m.departure_stop").alias("from_stop_I"), F.col("arrival_stop").alias("to_stop_I"), "m.departure_time", "arrival_time", "m.trip_id"
+    )
