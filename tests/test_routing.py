@@ -175,3 +175,67 @@ def test_journeys(spark):
     r = d.collect()[0]
     assert (r.diff_min, r.diff_max_relative, r.diff_mean_relative) == (1, -0.5, None) and J.changed_pairs(d, 2, 180).count() == 1
     assert J.largest_component({"wait": d, "walk": d.withColumn("diff_mean", d.diff_mean * -1)}).collect()[0][2:] == ("wait", "walk")
+
+
+def test_journeys_of_a_scan_ride_by_ride(spark, tmp_path):
+    from transloom.sources.journey_store import JourneyStore, MeasureStore
+
+    network = spark.createDataFrame([(a, b, float(c), float(d), t, s) for a, b, c, d, t, s in [(0, 1, 0, 10, 1, 1), (1, 2, 10, 20, 1, 2), (2, 3, 25, 30, 3, 1), (3, 4, 32, 35, 4, 1), (5, 3, 26, 31, 5, 1)]], "departure_stop long, arrival_stop long, departure_time double, arrival_time double, trip_id long, seq int")
+    labels, rides = R.profile_scan(network, spark.createDataFrame([(4, 4)], "target long, stop long"), both(spark, [(2, 5, 4), (6, 0, 3)]), speed=1, margin=1)
+    journeys, legs = (df.cache() for df in J.unfolded(labels, rides, network))
+    assert journeys.count() == labels.count()
+    whole = {r.journey_id: r for r in journeys.collect()}
+    by = {}
+    for r in sorted(legs.collect(), key=lambda r: (r.journey_id, r.seq)):
+        by.setdefault(r.journey_id, []).append(r)
+    for k, ls in by.items():
+        j = whole[k]
+        assert (ls[0].from_stop_I, ls[0].departure_time, ls[-1].to_stop_I, ls[-1].arrival_time_target) == (j.from_stop_I, j.departure_time, 4, j.arrival_time_target)
+        assert all(a.to_stop_I == b.from_stop_I and a.arrival_time_target <= b.departure_time for a, b in zip(ls, ls[1:]))
+        assert sum(x.trip_I >= 0 for x in ls) == j.n_boardings and sum(x.arrival_time_target - x.departure_time for x in ls) == j.movement_duration
+    first = next(ls for k, ls in by.items() if whole[k].from_stop_I == 6)
+    assert [(x.trip_I, tuple(x.leg_stops)) for x in first][:2] == [(-1, (6, 0)), (1, (0, 1, 2))]
+    trips = spark.createDataFrame([(1, 70), (3, 71), (4, None), (5, 72)], "trip_I long, route_I long")
+    routed = J.with_routes(journeys, legs, trips)
+    assert {tuple(r.route) for r in routed.where("from_stop_I = 0").collect()} <= {(70, 71, -1), (70, 72, -1)}
+    assert {r.stop_I: r.n_journeys for r in J.passing_journeys(legs).collect()}[4] == len(by)
+    assert J.stops_passed(legs).where(f"journey_id = {first[0].journey_id}").collect()[0].stops[:3] == [6, 0, 2]
+    store = JourneyStore(spark, str(tmp_path / "s"), {"margin": 1})
+    store.add(journeys, legs)
+    store.add(journeys, legs)
+    assert store.journeys(4).select("journey_id").distinct().count() == 2 * journeys.count() and store.targets().count() == 1 and store.od_pairs().count() == store.origins().count()
+    with pytest.raises(ValueError):
+        JourneyStore(spark, str(tmp_path / "s"), {"margin": 2})
+    measures = MeasureStore(spark, str(tmp_path / "m"))
+    for x in (1.0, 2.0):
+        measures.insert("wait", spark.createDataFrame([(1, 4, x, x, x, x)], "from_stop_I long, to_stop_I long, min double, max double, median double, mean double"))
+    assert measures.read("wait", to_stop_I=4, statistic="mean").collect()[0]["mean"] == 2 and measures.read("wait", from_stop_I=9).count() == 0
+
+
+def test_scan_counts_every_boarding_and_long_trips(spark):
+    """Every change is found without a bound, and a trip of many calls is passed once."""
+    chain = [(i, i + 1, 10 * i, 10 * i + 5, f"c{i}", 1) for i in range(5)]
+    got = R.journey_profiles(conns(spark, chain), spark.createDataFrame([(5, 5)], "target long, stop long"), both(spark, []), speed=1)
+    assert {r.stop: r.n_boardings for r in got.collect()} == {i: 5 - i for i in range(5)}
+    long = [(i, i + 1, i, i + 1, "long", i) for i in range(3000)]
+    got = R.journey_profiles(conns(spark, long), spark.createDataFrame([(3000, 3000)], "target long, stop long"), both(spark, []), speed=1)
+    assert got.count() == 3000
+
+
+def test_cut_offs_and_properties(spark):
+    rows = spark.createDataFrame([(1, 2.0, 6.0, 3), (1, 4.0, 7.0, 1)], LABEL)
+    blocks = P.profile_blocks(rows, ["od"], 0, 5)
+    cut = sorted((r.start_time, r.end_time, r.distance_start, r.distance_end) for r in P.cut_off(blocks, 4.5).collect())
+    assert cut == [(0, 1.5, 4.5, 4.5), (1.5, 2, 4.5, 4), (2, 2.5, 4.5, 4.5), (2.5, 4, 4.5, 3), (4, 5, 4.5, 4.5)]
+    assert P.largest_finite(blocks, ["od"]).collect()[0].largest == 6
+    r = P.all_measures(rows, ["od"], 0, 5).collect()[0]
+    assert (r["min"], r.largest, r.n_trips) == (3, 6, 2)
+    assert {r.measure for r in P.impedance(rows, ["od"], 0, 4, ("n_boardings",)).collect()} == {"temporal_distance", "n_boardings"}
+
+
+def test_spreading_moves(spark):
+    rows = [(1, 2, 10, 20, "a", 1), (2, 3, 20, 30, "a", 2), (2, 4, 25, 40, "b", 1)]
+    walks, c = both(spark, [(3, 5, 10)]), conns(spark, rows)
+    visits = R.spreading(c, 1, walks, start_time=0, max_duration=100, min_transfer_time=5, walk_speed=1)
+    got = {(r.from_stop_I, r.to_stop_I, r.trip_id) for r in R.spreading_trips(c, visits, walks, 1, min_transfer_time=5, walk_speed=1).collect()}
+    assert got == {(1, 2, "a"), (2, 3, "a"), (2, 4, "b"), (3, 5, "-1")}

@@ -9,11 +9,92 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from transloom.common import checkpoint, numbered
 from transloom.operators.pareto import time_front
 
 OD = ["from_stop_I", "to_stop_I"]
 
 
+def unfolded(labels: DataFrame, rides: DataFrame, conns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(journeys, legs) of the labels of a profile scan, followed ride by ride.
+
+    Journeys: journey_id, from_stop_I, to_stop_I (the target), departure_time, arrival_time_target, n_boardings, movement_duration.
+    Legs: journey_id, seq, from_stop_I, to_stop_I, departure_time, arrival_time_target, trip_I (-1 for a walk), leg_stops. Journeys
+    from a target to itself and walks of no length are left out. Ids follow target, stop and times.
+    """
+    trip_type = dict(labels.dtypes)["trip_id"]
+    ids = checkpoint(numbered(labels.where(~F.col("stop").eqNullSafe(F.col("target"))), ["target", "stop", "departure_time", "arrival_time_target", "n_boardings"], "journey_id"))
+    journeys = ids.select("journey_id", F.col("stop").alias("from_stop_I"), F.col("target").alias("to_stop_I"), "departure_time", "arrival_time_target", "n_boardings", F.col("movement").alias("movement_duration"))
+    walk = lambda a, b, t, d, seq: (a.alias("from_stop_I"), b.alias("to_stop_I"), t.alias("departure_time"), (t + d).alias("arrival_time_target"), F.lit(-1).cast(trip_type).alias("trip_I"), F.lit(None).cast("int").alias("board_seq"), F.lit(None).cast("int").alias("alight_seq"), seq.alias("seq"))
+    found = ids.where("first_walk_s > 0").select("journey_id", *walk(F.col("stop"), F.col("board_stop"), F.col("departure_time"), F.col("first_walk_s"), F.lit(0)))
+    way = ["trip_id", "seq", "alight_stop", "alight_time", "alight_seq", "next_stop", "walk_s", "next_departure"]
+    state = ids.select("journey_id", "target", "arrival_time_target", F.col("board_stop").alias("stop"), (F.col("departure_time") + F.col("first_walk_s")).alias("departure_time"), *way)
+    go_on = rides.groupBy("target", "stop", "departure_time", "arrival_time_target").agg(F.min(F.struct("n_boardings", *way)).alias("m"))
+    number = 1
+    while True:
+        at = F.lit(number)
+        ridden = state.select("journey_id", F.col("stop").alias("from_stop_I"), F.col("alight_stop").alias("to_stop_I"), "departure_time", F.col("alight_time").alias("arrival_time_target"), F.col("trip_id").alias("trip_I"), F.col("seq").cast("int").alias("board_seq"), F.col("alight_seq").cast("int").alias("alight_seq"), at.alias("seq"))
+        on_foot = state.where("walk_s > 0").select("journey_id", *walk(F.col("alight_stop"), F.col("next_stop"), F.col("alight_time"), F.col("walk_s"), at + 1))
+        found = checkpoint(found.unionByName(ridden).unionByName(on_foot))
+        ahead = state.where("next_departure is not null").select("journey_id", "target", "arrival_time_target", F.col("next_stop").alias("stop"), F.col("next_departure").alias("departure_time"))
+        state = checkpoint(ahead.join(go_on, ["target", "stop", "departure_time", "arrival_time_target"]).select("journey_id", "target", "arrival_time_target", "stop", "departure_time", *[f"m.{c}" for c in way]))
+        if state.isEmpty():
+            break
+        number += 2
+    ridden = found.where("board_seq is not null")
+    parts = ridden.select("trip_I", "board_seq", "alight_seq").distinct().join(conns.select(F.col("trip_id").alias("trip_I"), F.col("seq").alias("at"), "departure_stop", "arrival_stop"), "trip_I").where("at between board_seq and alight_seq")
+    stops = parts.groupBy("trip_I", "board_seq", "alight_seq").agg(F.array_sort(F.collect_list(F.struct("at", "departure_stop"))).alias("d"), F.max_by("arrival_stop", "at").alias("last"))
+    passed = stops.select("trip_I", "board_seq", "alight_seq", F.concat(F.transform("d", lambda x: x["departure_stop"]), F.array("last")).alias("leg_stops"))
+    whole = found.join(passed, ["trip_I", "board_seq", "alight_seq"], "left").withColumn("leg_stops", F.coalesce("leg_stops", F.array("from_stop_I", "to_stop_I")))
+    return journeys, whole.select("journey_id", "seq", "from_stop_I", "to_stop_I", "departure_time", "arrival_time_target", "trip_I", "leg_stops")
+
+
+def with_routes(journeys: DataFrame, legs: DataFrame, trips: DataFrame) -> DataFrame:
+    """Journeys with route: the routes of the vehicles in order, -1 where a trip has none; empty without a vehicle."""
+    named = legs.join(trips.select("trip_I", "route_I"), "trip_I").groupBy("journey_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("route_I", F.lit(-1)).alias("r")))).alias("rs"))
+    return journeys.join(named.select("journey_id", F.transform("rs", lambda x: x["r"]).alias("route")), "journey_id", "left").withColumn("route", F.coalesce("route", F.array().cast("array<bigint>")))
+
+
+def stops_passed(legs: DataFrame) -> DataFrame:
+    """(journey_id, stops): all stops of a journey in order, the stop between two legs once."""
+    per = legs.groupBy("journey_id").agg(F.array_sort(F.collect_list(F.struct("seq", "from_stop_I", "to_stop_I"))).alias("l"))
+    return per.select("journey_id", F.concat(F.transform("l", lambda x: x["from_stop_I"]), F.array(F.element_at("l", -1)["to_stop_I"])).alias("stops"))
+
+
+def passing_journeys(legs: DataFrame) -> DataFrame:
+    """(stop_I, n_journeys): journeys that pass each stop, however often."""
+    return legs.select("journey_id", F.explode("leg_stops").alias("stop_I")).distinct().groupBy("stop_I").agg(F.count("*").alias("n_journeys"))
+
+
+def dominates(a: dict, b: dict, *, time: bool = True, boardings: bool = True) -> F.Column:
+    """Whether a journey (columns departure_time, arrival_time_target, n_boardings by name) is at least as good in all and better in one."""
+    at_least, better = [], []
+    if time:
+        at_least += [a["departure_time"] >= b["departure_time"], a["arrival_time_target"] <= b["arrival_time_target"]]
+        better += [a["departure_time"] > b["departure_time"], a["arrival_time_target"] < b["arrival_time_target"]]
+    if boardings:
+        at_least.append(a["n_boardings"] <= b["n_boardings"])
+        better.append(a["n_boardings"] < b["n_boardings"])
+    every, some = F.lit(True), F.lit(False)
+    for x in at_least:
+        every = every & x
+    for x in better:
+        some = some | x
+    return every & some
+
+
+def earliest_and_fewest(labels: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, arrival_time_target, n_boardings): the earliest arrival and the fewest boardings among labels."""
+    return labels.groupBy(*keys).agg(F.min("arrival_time_target").alias("arrival_time_target"), F.min("n_boardings").alias("n_boardings"))
+
+
+def origin_target_legs(journeys: DataFrame, legs: DataFrame, origin: int, target: int, *, fastest: bool = True) -> DataFrame:
+    """(from_stop_I, to_stop_I, trip_I, leg_stops, departure_times): the legs of journeys between two stops, each with its departures."""
+    chosen = with_fastest(journeys).where((F.col("from_stop_I") == origin) & (F.col("to_stop_I") == target))
+    chosen = chosen.where("fastest_path") if fastest else chosen
+    return legs.join(chosen.select("journey_id"), "journey_id", "left_semi").groupBy(*OD, "trip_I", "leg_stops").agg(F.array_sort(F.collect_set("departure_time")).alias("departure_times"))
+
+
 def with_fastest(journeys: DataFrame) -> DataFrame:
     """Journeys with fastest_path: whether they are on the front of departure and arrival of their pair of stops."""
     best = time_front(journeys.select("journey_id", *OD, "departure_time", "arrival_time_target"), OD).select("journey_id", F.lit(True).alias("f"))

@@ -85,6 +85,48 @@ def boardings_blocks(labels: DataFrame, keys: list[str], start: float, end: floa
     return made.withColumns({"distance_start": value, "distance_end": value}).select(*keys, "start_time", "end_time", "distance_start", "distance_end")
 
 
+def property_blocks(labels: DataFrame, keys: list[str], start: float, end: float, value: str, walk: str | None = None) -> DataFrame:
+    """Blocks of a property of the fastest journey (the least value of equally fast ones), by the same pieces of time as boardings_blocks."""
+    return boardings_blocks(labels.withColumn("n_boardings", F.col(value)), keys, start, end, walk)
+
+
+def cut_off(blocks: DataFrame, distance: float) -> DataFrame:
+    """Blocks with distances of ``distance`` at most; a sloping block that crosses it is split there."""
+    crosses = (F.col("distance_start") > distance) & (F.col("distance_end") < distance) & (F.col("distance_start") != F.col("distance_end"))
+    share = (F.col("distance_start") - distance) / (F.col("distance_start") - F.col("distance_end"))
+    at = F.when(crosses, F.col("start_time") + share * (F.col("end_time") - F.col("start_time"))).otherwise(F.col("end_time"))
+    piece = lambda a, b, c, d: F.struct(a.alias("start_time"), b.alias("end_time"), F.least(c, F.lit(float(distance))).alias("distance_start"), F.least(d, F.lit(float(distance))).alias("distance_end"))
+    limit = F.lit(float(distance))
+    pieces = F.array(piece(F.col("start_time"), at, F.col("distance_start"), F.when(crosses, limit).otherwise(F.col("distance_end"))), piece(at, F.col("end_time"), limit, F.col("distance_end")))
+    keys = [c for c in blocks.columns if c not in ("start_time", "end_time", "distance_start", "distance_end")]
+    return blocks.select(*keys, F.explode(pieces).alias("b")).select(*keys, "b.*").where("start_time < end_time")
+
+
+def largest_finite(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, largest): the largest distance that is reachable at some time, null if there is none."""
+    finite = lambda c: F.when(F.col(c) < INF, F.col(c))
+    return blocks.groupBy(*keys).agg(F.max(F.greatest(finite("distance_start"), finite("distance_end"))).alias("largest"))
+
+
+def all_measures(labels: DataFrame, keys: list[str], start: float, end: float, walk: str | None = None) -> DataFrame:
+    """(keys, min, max, mean, median, largest, and those of trip_measures): the measures of a profile side by side; those of journeys are null where none departs in time."""
+    blocks = profile_blocks(labels, keys, start, end, walk)
+    return block_measures(blocks, keys).join(largest_finite(blocks, keys), keys).join(trip_measures(labels, keys, start, end), keys, "left")
+
+
+def mean_by_boardings(labels: DataFrame, keys: list[str], start: float, end: float, most: int, walk: str | None = None) -> DataFrame:
+    """(keys, max_boardings, min, max, mean, median): measures of the distance with at most 1, 2, … boardings."""
+    return block_measures(blocks_by_boardings(labels, keys, start, end, most, walk), [*keys, "max_boardings"])
+
+
+def impedance(labels: DataFrame, keys: list[str], start: float, end: float, properties: tuple[str, ...] = (), walk: str | None = None) -> DataFrame:
+    """(measure, keys, min, max, mean, median): the temporal distance, and each property of the fastest journeys, over time."""
+    made = block_measures(profile_blocks(labels, keys, start, end, walk), keys).withColumn("measure", F.lit("temporal_distance"))
+    for p in properties:
+        made = made.unionByName(block_measures(property_blocks(labels, keys, start, end, p, walk), keys).withColumn("measure", F.lit(p)))
+    return made.select("measure", *keys, "min", "max", "mean", "median")
+
+
 def blocks_by_boardings(labels: DataFrame, keys: list[str], start: float, end: float, most: int, walk: str | None = None) -> DataFrame:
     """profile_blocks for journeys of at most 1, 2, … ``most`` boardings, with max_boardings as a key."""
     every = labels.withColumn("max_boardings", F.explode(F.sequence(F.lit(1), F.lit(most)))).where("n_boardings <= max_boardings")

@@ -67,13 +67,19 @@ def next_departures(arrivals: DataFrame, departures: DataFrame, keys: list[str],
 
 
 def journey_profiles(conns: DataFrame, targets: DataFrame, walks: DataFrame, *, margin: float = 0, speed: float = 1.5, most_boardings: int | None = None) -> DataFrame:
-    """(target, stop, departure_time, arrival_time_target, n_boardings, first_walk_s, board_stop, trip_id, seq, alight_stop, alight_time, alight_seq, next_stop, walk_s, next_departure, movement): the Pareto-optimal journeys of every stop to each target (target, stop).
+    """The final labels of ``profile_scan``."""
+    return profile_scan(conns, targets, walks, margin=margin, speed=speed, most_boardings=most_boardings)[0]
+
+
+def profile_scan(conns: DataFrame, targets: DataFrame, walks: DataFrame, *, margin: float = 0, speed: float = 1.5, most_boardings: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Labels (target, stop, departure_time, arrival_time_target, n_boardings, first_walk_s, board_stop, trip_id, seq, alight_stop, alight_time, alight_seq, next_stop, walk_s, next_departure, movement): the Pareto-optimal journeys of every stop to each target (target, stop).
 
     Round n finds the journeys with n boardings: from a connection one walks on to the target, stays in the trip, or changes with
     ``margin``, at once or after one walk, to the best journey of n-1 boardings that is still caught. Rounds end when one finds
     nothing new, or at ``most_boardings`` if given. Journeys may begin with one walk. What is no better than walking all the way is
     left out. Of equal journeys the one that moves least. The columns from board_stop on say how it begins: which ride, where it goes
-    on (null next_departure: at the target), so that ``journeys.legs`` can follow it.
+    on (null next_departure: at the target), so that ``journeys.unfolded`` can follow it through the second table, the labels that begin
+    with a ride.
     """
     legs = checkpoint(conns.select(*CONNECTION))
     paths = walks.select("from_stop_I", "to_stop_I", (F.col("d_walk") / speed).alias("walk_s"))
@@ -125,7 +131,7 @@ def journey_profiles(conns: DataFrame, targets: DataFrame, walks: DataFrame, *,
     # of equal ones the least movement
     first = ["movement", "first_walk_s", "board_stop", *ROUTE[:-1]]
     one = every.groupBy("target", "stop", "departure_time", "arrival_time_target", "n_boardings").agg(F.min(F.struct(*first)).alias("m")).select("target", "stop", "departure_time", "arrival_time_target", "n_boardings", "m.*")
-    return boardings_front(one, ["target", "stop"])
+    return boardings_front(one, ["target", "stop"]), fresh
 
 
 def pseudo_connections(conns: DataFrame, walks: DataFrame, *, margin: float = 0, speed: float = 1.5, start_time: float, end_time: float) -> DataFrame:
