@@ -145,9 +145,11 @@ def closest_stop(feed):
     return feed.closest_stop(*POINT).select("stop_I", F.floor("metres").alias("metres"))
 
 
-@query("SELECT from_stop_I, to_stop_I, d FROM stop_distances WHERE d < 200")
+@query("""WITH s AS (SELECT from_stop_I FROM stop_distances GROUP BY from_stop_I ORDER BY count(*) DESC, from_stop_I LIMIT 1) SELECT to_stop_I AS stop_I, d, d_walk FROM stop_distances WHERE from_stop_I = (SELECT from_stop_I FROM s) AND d < 2000""")
 def stops_within_distance(feed):
-    return feed["stop_distances"].where("d < 200").select("from_stop_I", "to_stop_I", "d")
+    """Around the stop with the most known distances."""
+    most = feed["stop_distances"].groupBy("from_stop_I").agg(F.count("*").alias("n")).agg(F.min(F.struct((-F.col("n")).alias("n"), "from_stop_I")).alias("s")).head().s
+    return feed.stops_within(-1 if most is None else most.from_stop_I, 2000)
 
 
 @query("""WITH near AS (SELECT from_stop_I AS origin, to_stop_I AS stop_I FROM stop_distances WHERE d < 100), served AS (SELECT DISTINCT stop_I, trip_I FROM stop_times WHERE stop_I IS NOT NULL AND trip_I IS NOT NULL),
@@ -300,9 +302,9 @@ def lat_lon_percentiles(feed):
     return stats.stop_percentiles(feed["stops"]).select("percent", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-@query("SELECT min(lon) AS lon_min, max(lon) AS lon_max, min(lat) AS lat_min, max(lat) AS lat_max FROM stops")
+@query("""WITH b AS (SELECT min(lon) AS a, max(lon) AS b, min(lat) AS c, max(lat) AS d FROM stops), g AS (SELECT *, 0.1 * sqrt(pow(b - a, 2) + pow(d - c, 2)) AS g FROM b) SELECT round(a - g, 6) AS lon_min, round(b + g, 6) AS lon_max, round(c - g, 6) AS lat_min, round(d + g, 6) AS lat_max FROM g""")
 def bounding_box(feed):
-    return stats.stop_bounds(feed["stops"])
+    return stats.bounding_box(feed["stops"], 0.1).select(*[F.round(c, 6).alias(c) for c in ("lon_min", "lon_max", "lat_min", "lat_max")])
 
 
 @query(f"""WITH {_DAYS}, p AS (SELECT trip_I, min(date) AS lo, max(date) AS hi FROM day_trips2 GROUP BY trip_I)
@@ -312,9 +314,11 @@ def feed_calendar_spans(feed):
 
 
 @query("""SELECT 'n_stops' AS name, CAST(count(*) AS VARCHAR) AS value FROM stops UNION ALL SELECT 'n_routes', CAST(count(*) AS VARCHAR) FROM routes UNION ALL SELECT 'n_trips', CAST(count(*) AS VARCHAR) FROM trips UNION ALL SELECT 'n_stop_times', CAST(count(*) AS VARCHAR) FROM stop_times
-UNION ALL SELECT 'n_calendar', CAST(count(*) AS VARCHAR) FROM calendar UNION ALL SELECT 'start_date', CAST(min(start_date) AS VARCHAR) FROM calendar UNION ALL SELECT 'end_date', CAST(max(end_date) AS VARCHAR) FROM calendar""")
+UNION ALL SELECT 'n_calendar', CAST(count(*) AS VARCHAR) FROM calendar UNION ALL SELECT 'start_date', CAST(min(start_date) AS VARCHAR) FROM calendar UNION ALL SELECT 'end_date', CAST(max(end_date) AS VARCHAR) FROM calendar
+UNION ALL SELECT n, printf('%.4f', v) FROM (SELECT unnest(['lat_min', 'lat_median', 'lat_max', 'lon_min', 'lon_median', 'lon_max']) AS n, unnest([min(lat), quantile_cont(lat, 0.5), max(lat), min(lon), quantile_cont(lon, 0.5), max(lon)]) AS v FROM stops)""")
 def feed_stats(feed):
-    return stats.feed_stats({n: feed[n] for n in ("stops", "routes", "trips", "stop_times", "calendar")}).where("name not like 'lat%' and name not like 'lon%'")
+    made = stats.feed_stats({n: feed[n] for n in ("stops", "routes", "trips", "stop_times", "calendar")})
+    return made.withColumn("value", F.when(F.col("name").rlike("^l(at|on)_"), F.format_string("%.4f", F.col("value").try_cast("double"))).otherwise(F.col("value")))
 
 
 # networks
@@ -334,6 +338,12 @@ def route_I_counts(feed):
     return networks.stop_to_stop(_today(feed), feed["stops"]).select("from_stop_I", "to_stop_I", "route_type", F.explode("route_I_counts").alias("route_I", "n"))
 
 
+@query(f"""WITH {_EVENTS} SELECT from_stop_I, to_stop_I, route_type, count(*) AS n_vehicles, min(duration)::BIGINT AS duration_min, max(duration)::BIGINT AS duration_max FROM events JOIN stops a ON a.stop_I = from_stop_I JOIN stops b ON b.stop_I = to_stop_I GROUP BY from_stop_I, to_stop_I, route_type""")
+def combined_network(feed):
+    """Every link of every type over the whole timetable, stops without a position included."""
+    return networks.stop_to_stop(feed.events(), feed["stops"]).select("from_stop_I", "to_stop_I", "route_type", "n_vehicles", "duration_min", "duration_max")
+
+
 @query("""WITH w AS (SELECT *, CASE WHEN (SELECT count(d_walk) FROM stop_distances) > 0 THEN d_walk ELSE d END AS length FROM stop_distances WHERE from_stop_I <> to_stop_I)
 SELECT stop_a, stop_b, d, d_walk FROM (SELECT least(from_stop_I, to_stop_I) AS stop_a, greatest(from_stop_I, to_stop_I) AS stop_b, d, d_walk, row_number() OVER (PARTITION BY least(from_stop_I, to_stop_I), greatest(from_stop_I, to_stop_I) ORDER BY from_stop_I DESC) AS r FROM w WHERE length <= 1000) WHERE r = 1""")
 def walk_network_undirected(feed):
@@ -419,9 +429,9 @@ def null_checks(feed):
     return validate.null_counts({n: feed[n] for n in ("stops", "routes", "trips", "stop_times")})
 
 
-@query("SELECT trip_I, arr_time_ds, count(*) AS n_stops FROM stop_times WHERE arr_time_ds IS NOT NULL GROUP BY trip_I, arr_time_ds HAVING count(*) >= 5")
+@query("SELECT trip_I, arr_time_ds, count(*) AS n_stops FROM stop_times WHERE arr_time_ds IS NOT NULL GROUP BY trip_I, arr_time_ds HAVING count(*) >= 2")
 def same_stop_time_groups(feed):
-    return validate.same_time_groups(feed["stop_times"])
+    return validate.same_time_groups(feed["stop_times"], 2)
 
 
 @query(f"""WITH x AS (SELECT *, lead(stop_I) OVER o AS next_stop_I, lead(arr_time_ds) OVER o AS next_arr FROM stop_times WINDOW o AS (PARTITION BY trip_I ORDER BY seq, stop_time_I)),
@@ -444,10 +454,10 @@ def sequence_violations(feed):
     return validate.sequence_violations(feed["stop_times"])
 
 
-# comparison: the timetable of one half of the week against the other
+# comparison: the timetable of one direction against the other's
 
 
-def _halves(feed: Feed) -> tuple[DataFrame, DataFrame]:
+def _directions(feed: Feed) -> tuple[DataFrame, DataFrame]:
     typed = feed.pairs.join(feed["trips"].select("trip_I", "route_I", "direction_id"), "trip_I")
     return typed.where("direction_id = '0'"), typed.where("direction_id = '1'")
 
@@ -457,17 +467,41 @@ a AS (SELECT from_stop_I, to_stop_I, count(trip_I) AS n, count(DISTINCT route_I)
 SELECT coalesce(a.from_stop_I, b.from_stop_I) AS from_stop_I, coalesce(a.to_stop_I, b.to_stop_I) AS to_stop_I, coalesce(a.n, 0) AS n_trips_old, coalesce(a.r, 0) AS n_routes_old, coalesce(b.n, 0) AS n_trips_new, coalesce(b.r, 0) AS n_routes_new,
 coalesce(b.n, 0) - coalesce(a.n, 0) AS diff_n_trips, coalesce(b.r, 0) - coalesce(a.r, 0) AS diff_n_routes FROM a FULL JOIN b ON a.from_stop_I = b.from_stop_I AND a.to_stop_I = b.to_stop_I""")
 def section_diff_full_outer(feed):
-    return compare.section_difference(*_halves(feed))
+    return compare.section_difference(*_directions(feed))
 
 
 @query("""WITH s AS (SELECT direction_id, string_agg(CAST(stop_I AS VARCHAR), ',' ORDER BY seq, stop_time_I) AS stop_sequence FROM stop_times JOIN trips USING (trip_I) WHERE stop_I IS NOT NULL GROUP BY trip_I, direction_id)
 SELECT DISTINCT stop_sequence FROM s WHERE direction_id = '0' AND stop_sequence NOT IN (SELECT stop_sequence FROM s WHERE direction_id = '1')""")
 def route_set_difference(feed):
-    lines = feed["stop_times"].where("stop_I is not null").groupBy("trip_I").agg(F.array_sort(F.collect_list(F.struct("seq", "stop_time_I", "stop_I"))).alias("calls"))
-    named = lines.select("trip_I", F.array_join(F.transform("calls", lambda c: c["stop_I"].cast("string")), ",").alias("stop_sequence")).join(feed["trips"].select("trip_I", "direction_id"), "trip_I")
+    named = _sequences(feed)
     return compare.route_difference(named.where("direction_id = '0'").select("stop_sequence").distinct(), named.where("direction_id = '1'").select("stop_sequence"))
 
 
+def _sequences(feed: Feed) -> DataFrame:
+    lines = feed["stop_times"].where("stop_I is not null").groupBy("trip_I").agg(F.array_sort(F.collect_list(F.struct("seq", "stop_time_I", "stop_I"))).alias("calls"))
+    return lines.select("trip_I", F.array_join(F.transform("calls", lambda c: c["stop_I"].cast("string")), ",").alias("stop_sequence")).join(feed["trips"].select("trip_I", "direction_id"), "trip_I")
+
+
+@query("""WITH s AS (SELECT direction_id, string_agg(CAST(stop_I AS VARCHAR), ',' ORDER BY seq, stop_time_I) AS stop_sequence FROM stop_times JOIN trips USING (trip_I) WHERE stop_I IS NOT NULL GROUP BY trip_I, direction_id),
+a AS (SELECT DISTINCT stop_sequence, list_distinct(string_split(stop_sequence, ',')) AS x FROM s WHERE direction_id = '0'), b AS (SELECT DISTINCT stop_sequence, list_distinct(string_split(stop_sequence, ',')) AS y FROM s WHERE direction_id = '1')
+SELECT stop_sequence FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE len(list_intersect(a.x, b.y)) >= 0.5 * (len(a.x) + len(b.y) - len(list_intersect(a.x, b.y))))""")
+def route_set_jaccard(feed):
+    named = _sequences(feed)
+    return compare.route_difference(named.where("direction_id = '0'").select("stop_sequence").distinct(), named.where("direction_id = '1'").select("stop_sequence"), 0.5)
+
+
+@query("""WITH f AS (SELECT min(trip_I) AS trip_I FROM trips WHERE route_I IS NOT NULL AND trip_I IN (SELECT trip_I FROM stop_times WHERE dep_time_ds IS NOT NULL AND arr_time_ds IS NOT NULL) GROUP BY route_I),
+b AS (SELECT trip_I, min(dep_time_ds) AS dep0, max(arr_time_ds) AS arr1 FROM stop_times JOIN f USING (trip_I) GROUP BY trip_I)
+SELECT t.trip_id || '_freq_' || s AS trip_id, s AS start_time_ds, s + arr1 - dep0 AS end_time_ds FROM b JOIN trips t ON t.trip_I = b.trip_I, (SELECT unnest(generate_series(21600, 27599, 1200))::INTEGER AS s)""")
+def frequency_expansion(feed):
+    """The first trip of each route as a template, every twenty minutes from six until 7:40."""
+    timed = feed["stop_times"].where("dep_time_ds is not null and arr_time_ds is not null").select("trip_I").distinct()
+    templates = feed["trips"].where("route_I is not null").join(timed, "trip_I", "left_semi").groupBy("route_I").agg(F.min("trip_I").alias("trip_I"))
+    frequencies = templates.select("trip_I", F.lit(21600).alias("start_time_ds"), F.lit(27600).alias("end_time_ds"), F.lit(1200).alias("headway_secs"))
+    trips, _ = derive.expand_frequencies(feed["trips"], feed["stop_times"], frequencies)
+    return trips.where("trip_id like '%_freq_%'").select("trip_id", "start_time_ds", "end_time_ds")
+
+
 def stops_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     stops, others = table(spark, sf_dir, "stops"), table(spark, sf_dir, "other_stops")
     return compare.rows_not_in(stops.select("name"), others.select("name").distinct(), ["name"])
