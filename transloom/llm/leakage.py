@@ -35,14 +35,15 @@ AGREE = 12
 STRETCH, LOSS = 0.4, 0.25
 #: Alignment score that stock formulas of procedure reach at most.
 FORMULA = 16
-#: Score along one diagonal from which a pair is aligned: a stretch of twenty words has a run of more between its errors.
-SEED = 8
+#: Score along one diagonal from which a pair is aligned: of twenty words less two dropped ones, some run between them has as many.
+SEED = 6
 #: Words to either side of the diagonal that the alignment may use for dropped and inserted words.
 BAND = 16
 #: Words of items handled in one pass over the corpus; bounds what is broadcast (about 30 MB). More items take more passes.
 PASS_WORDS = 100_000
 
-_TAG = re.compile(r"<[^<>]{0,300}>")
+_TAG = re.compile(r"<[^<>]*>")
+#: An interruption is up to about sixty words long; what is longer may hold a passage itself and stays text.
 _BRACKETS = re.compile(r"\([^()]{0,400}\)|\[[^\[\]]{0,400}\]")
 _HYPHEN = re.compile(r"(?<=\w)[-\u00ad\u2010]\s*\n\s*(?=\w)")
 _OTHER = re.compile(r"[^\x00-\x7f]")
