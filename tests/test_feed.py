@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from transloom.functions import timetable as T
-from transloom.operators import compare, derive, events, extract, geometry, networks, sequence, shapes, stats, validate
+from transloom.common import numbered
+from transloom.operators import compare, derive, events, extract, geometry, networks, sequence, shapes, stats, validate, walking
 from transloom.sources import export
 from transloom.sources.gtfs import read_feed, write_feed
 from transloom.streaming.departures import departures_per_window, service_periods
@@ -257,3 +258,51 @@ def test_empty_feed_tables(spark, feed):
     assert stats.trip_counts_per_day(dated).count() == 0 and stats.suitable_date(stats.trip_counts_per_day(dated)).count() == 0
     assert networks.walk_network(none["stop_distances"]).count() == 0 and validate.danglers(none).agg(F.sum("n_rows")).collect()[0][0] == 0
     assert extract.by_place(none, 0, 0, 1)["trips"].count() == 0
+
+
+def test_walks_over_streets(spark):
+    nodes = spark.createDataFrame([(1, 50.0, 7.0), (2, 50.0, 7.004), (3, 50.002, 7.004), (4, 50.002, 7.0), (5, 50.5, 7.0)], "node_id long, lat double, lon double")
+    ways = spark.createDataFrame([(1, "footway", None, [1, 2, 3]), (2, "path", "ferry", [1, 4]), (3, "rail", None, [3, 4]), (4, "steps", None, [3, 3, 9])], "way_id long, kind string, route string, node_ids array<long>")
+    edges = walking.street_edges(ways, nodes)
+    assert {(r.a, r.b) for r in edges.collect()} == {(1, 2), (2, 3)}
+    stops = spark.createDataFrame([(10, 50.0001, 7.0), (11, 50.002, 7.0041), (12, 50.002, 6.9999), (13, None, None), (14, 51.0, 7.0)], "stop_I long, lat double, lon double")
+    assert {(r.stop_I, r.node_id) for r in walking.nearest_nodes(stops, nodes, 100).collect()} == {(10, 1), (11, 3), (12, 4)}
+    got = {(r.from_stop_I, r.to_stop_I): r.d_walk for r in walking.walk_distances(stops, nodes, edges, match=100).collect()}
+    assert set(got) == {(10, 11), (11, 10)} and got[10, 11] == got[11, 10] and 520 < got[10, 11] < 540
+    assert walking.walk_distances(stops, nodes, edges, most=300, match=100).count() == 0
+    known = spark.createDataFrame([(10, 11, 400, None), (10, 12, 230, None)], "from_stop_I long, to_stop_I long, d int, d_walk int")
+    assert {(r.from_stop_I, r.to_stop_I, r.d) for r in walking.with_walk_distances(known, spark.createDataFrame([(10, 11, 530)], "from_stop_I long, to_stop_I long, d_walk int")).where("d_walk = 530").collect()} == {(10, 11, 400)}
+
+
+def test_trajectories(spark):
+    day = spark.createDataFrame([(1, 0, 100, 200), (2, 0, 500, 600)], "trip_I long, day_start_ut long, start_time_ut long, end_time_ut long")
+    calls = spark.createDataFrame([(1, 1, 100, 1), (1, 2, 200, 2), (2, 1, 500, 1)], "trip_I long, stop_I long, dep_time_ds int, seq int")
+    stops = spark.createDataFrame([(1, 50.0, 7.0), (2, 50.0, 7.2)], "stop_I long, lat double, lon double")
+    trips, routes = spark.createDataFrame([(1, 5, "S"), (2, 5, None)], "trip_I long, route_I long, shape_id string"), spark.createDataFrame([(5, "7", 3)], "route_I long, name string, type int")
+    r = events.trajectories(day, calls, stops, trips, routes, 90, 210).collect()
+    assert [(x.trip_I, [tuple(p) for p in x.points]) for x in r] == [(1, [(100, 50.0, 7.0), (200, 50.0, 7.2)])]
+    lines = spark.createDataFrame([("S", [(0, 50.0, 7.0, 0), (1, 50.0, 7.1, 50), (2, 50.0, 7.2, 100)])], "shape_id string, points array<struct<seq:int,lat:double,lon:double,d:int>>")
+    r = events.trajectories(day, calls, stops, trips, routes, 0, 900, shapes=lines, breaks=spark.createDataFrame([(1, [0, 2])], "trip_I long, breaks array<int>")).collect()
+    assert {x.trip_I: [p.time for p in x.points] for x in r} == {1: [100, 150, 200], 2: [500]}
+    assert events.trajectories(day, calls, stops, trips, routes, 90, 210, route_name="8").count() == 0
+
+
+def test_validator_runs(spark, feed):
+    import io
+
+    names = ("stops", "stop_times", "trips", "routes", "calendar")
+    found = validate.check_import({"stops": 99}, {n: feed[n] for n in names})
+    assert "rows of stops differ from the source" in found.counts()
+    pairs = feed.pairs
+    timed = validate.check_timetable({n: feed[n] for n in names}, stats.trip_stats(pairs, feed["trips"], feed["routes"], feed["stops"]), (36.9, -116.7, 50.0))
+    assert timed.counts()["stops outside of the place"] == 1
+    out = io.StringIO()
+    timed.write_summary(out)
+    timed.write_details(out)
+    assert "stops outside of the place" in out.getvalue() and "Unused" in out.getvalue()
+
+
+def test_numbers_follow_the_order_over_all_partitions(spark):
+    rows = spark.range(5000).withColumn("k", F.when(F.col("id") != 7, (F.col("id") * 7919) % 5003)).repartition(7)
+    got = [(r.k, r.n) for r in numbered(rows, ["k"], "n").orderBy("n").collect()]
+    assert [n for _, n in got] == list(range(1, 5001)) and got[0][0] is None and [k for k, _ in got[1:]] == sorted(k for k, _ in got[1:])

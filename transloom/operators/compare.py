@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from transloom.common import numbered
 from transloom.functions.geo import haversine
 
 
@@ -56,8 +57,8 @@ def homogenized_stops(stops: DataFrame, others: DataFrame, metres: float = 50.0)
     near = haversine(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon")) <= metres
     joined = a.join(b, (F.col("stop_id") == F.col("other_id")) & near, "full")
     named = joined.select("stop_I", "other_stop_I", F.coalesce("stop_id", "other_id").alias("stop_id"))
-    order = Window.orderBy(F.col("stop_I").isNull() | F.col("other_stop_I").isNull(), "stop_id", F.col("stop_I").isNull())
-    return named.withColumn("stop_pair_I", F.row_number().over(order)).select("stop_pair_I", "stop_I", "other_stop_I", "stop_id")
+    placed = named.withColumns({"alone": F.col("stop_I").isNull() | F.col("other_stop_I").isNull(), "second": F.col("stop_I").isNull()})
+    return numbered(placed, ["alone", "stop_id", "second", "stop_I", "other_stop_I"], "stop_pair_I").select("stop_pair_I", "stop_I", "other_stop_I", "stop_id")
 
 
 def renumbered_stops(table: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:

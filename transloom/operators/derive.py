@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from transloom.common import numbered as numbered_rows
 from transloom.functions.geo import haversine
 from transloom.functions.timetable import day_start_ut
 from transloom.operators.proximity import VoronoiPartition
@@ -61,10 +62,7 @@ def expand_frequencies(trips: DataFrame, stop_times: DataFrame, frequencies: Dat
     least = template.groupBy("trip_I").agg(F.min("arr_time_ds").alias("arr0"), F.min("dep_time_ds").alias("dep0"), F.max("arr_time_ds").alias("arr1"))
     checked = made.join(least, "trip_I", "left").withColumn("dep0", F.when(F.col("dep0").isNull(), F.raise_error(F.lit("a trip with a headway has no calls")).cast("int")).otherwise(F.col("dep0")))
     top = trips.agg(F.coalesce(F.max("trip_I"), F.lit(0))).scalar()
-    # departures of one feed's headways: numbered per template, offset by the templates before
-    per = checked.groupBy("trip_I").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("trip_I").rowsBetween(Window.unboundedPreceding, -1)))
-    number = F.row_number().over(Window.partitionBy("trip_I").orderBy("start"))
-    numbered = checked.withColumn("k", number).join(per, "trip_I").withColumn("new_I", top + F.coalesce("before", F.lit(0)) + F.col("k"))
+    numbered = numbered_rows(checked, ["trip_I", "start"], "k").withColumn("new_I", top + F.col("k"))
     new_trips = numbered.join(trips, "trip_I").select(
         *[
             F.col("new_I").alias("trip_I") if c == "trip_I" else F.concat("trip_id", F.lit("_freq_"), F.col("start")).alias(c) if c == "trip_id"

@@ -112,6 +112,36 @@ def trip_lines(stop_times: DataFrame, stops: DataFrame, key: str = "trip_I") ->
     return located.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("points"))
 
 
+def trajectories(day_trips: DataFrame, stop_times: DataFrame, stops: DataFrame, trips: DataFrame, routes: DataFrame, start_ut: int, end_ut: int, *, shapes: DataFrame | None = None, breaks: DataFrame | None = None, route_name: str | None = None) -> DataFrame:
+    """(trip_I, day_start_ut, route_type, name, points): where each trip under way between two times is, as points (time_ut, lat, lon) in order of time.
+
+    With shape lines (shape_id, points) and breaks (trip_I, breaks: the place of each call on the trip's line) the points are those
+    of the line, their times by distance between the calls; a trip without both has its calls. ``route_name`` keeps the routes of
+    that name. Calls without a place or time are passed over.
+    """
+    named = routes.select("route_I", "name", F.col("type").alias("route_type"))
+    named = named if route_name is None else named.where(F.col("name") == route_name)
+    active = trips_active(day_trips, start_ut, end_ut).select("trip_I", "day_start_ut").join(trips.select("trip_I", "route_I", "shape_id"), "trip_I").join(named, "route_I")
+    calls = stop_times.join(active.select("trip_I").distinct(), "trip_I", "left_semi").where("dep_time_ds is not null").join(stops.select("stop_I", "lat", "lon").where("lat is not null and lon is not null"), "stop_I")
+    lines = calls.groupBy("trip_I").agg(F.array_sort(F.collect_list(F.struct(F.col("dep_time_ds").cast("double").alias("t"), "seq", "lat", "lon"))).alias("calls"))
+    placed = active.join(lines, "trip_I")
+    at = lambda t, p: F.struct(t.alias("time"), p["lat"].alias("lat"), p["lon"].alias("lon"))
+    own = F.transform("calls", lambda c: at(F.col("day_start_ut") + c["t"], c))
+    if shapes is None or breaks is None:
+        return placed.select("trip_I", "day_start_ut", "route_type", "name", own.alias("points"))
+    both = placed.join(breaks.select("trip_I", "breaks"), "trip_I", "left").join(shapes.select("shape_id", F.col("points").alias("line")), "shape_id", "left")
+    fits = F.col("line").isNotNull() & (F.size("breaks") == F.size("calls")) & (F.size("breaks") > 1)
+
+    def leg(i):
+        a, b = F.element_at("breaks", i), F.element_at("breaks", i + 1)
+        t0, t1 = F.element_at("calls", i)["t"], F.element_at("calls", i + 1)["t"]
+        d0, d1 = F.element_at("line", a + 1)["d"], F.element_at("line", b + 1)["d"]
+        return F.transform(F.slice("line", a + 1, F.greatest(F.lit(1), b - a + 1)), lambda p: at(F.col("day_start_ut") + t0 + F.coalesce(F.try_divide(p["d"] - d0, d1 - d0), F.lit(0.0)) * (t1 - t0), p))
+
+    along = F.flatten(F.transform(F.sequence(F.lit(1), F.size("breaks") - 1), leg))
+    return both.select("trip_I", "day_start_ut", "route_type", "name", F.when(fits, F.array_distinct(along)).otherwise(own).alias("points"))
+
+
 def longest_trip_per_route(trips: DataFrame) -> DataFrame:
     """(route_I, trip_I, shape_id, duration): of each route the trip that lasts longest, the smallest id of equals."""
     lasting = trips.where("start_time_ds is not null and end_time_ds is not null and route_I is not null").withColumn("duration", F.col("end_time_ds") - F.col("start_time_ds"))

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from transloom.common import checkpoint
+from transloom.common import checkpoint, numbered
 from transloom.functions.geo import haversine
 from transloom.operators.derive import day_trips, days, resequenced, trip_times
 
@@ -22,10 +22,14 @@ def _semi(tables: Tables, name: str, column: str, keep: DataFrame, keep_column:
 def used_stops(stops: DataFrame, stop_times: DataFrame, chain: int = 3) -> DataFrame:
     """Stops that calls use, and their parents up to so many steps."""
     used = checkpoint(stop_times.select("stop_I").where("stop_I is not null").distinct())
+    # each stop with its chain of parents, so that one join with the used ones finds them all
+    above = stops.select("stop_I", "parent_I").where("stop_I is not null and parent_I is not null").distinct()
+    step = used
+    every = used
     for _ in range(chain):
-        parents = stops.join(used, "stop_I", "left_semi").select(F.col("parent_I").alias("stop_I")).where("stop_I is not null")
-        used = checkpoint(used.union(parents).distinct())
-    return stops.join(used, "stop_I", "left_semi").select(*stops.columns)
+        step = above.join(step, "stop_I", "left_semi").select(F.col("parent_I").alias("stop_I"))
+        every = every.union(step)
+    return stops.join(every.distinct(), "stop_I", "left_semi").select(*stops.columns)
 
 
 def cascade(tables: Tables, start: str = "trips") -> Tables:
@@ -115,8 +119,7 @@ def by_place(tables: Tables, lat: float, lon: float, km: float) -> Tables:
     parts = cut.select("trip_I", "part").distinct()
     top = out["trips"].agg(F.coalesce(F.max("trip_I"), F.lit(0))).scalar()
     whole = parts.where("part is null").select("trip_I", "part", F.col("trip_I").alias("new_I"))
-    # parts are few against trips: numbered in order of trip and part
-    split = parts.where("part is not null").withColumn("new_I", top + F.row_number().over(Window.orderBy("trip_I", "part")))
+    split = numbered(parts.where("part is not null"), ["trip_I", "part"], "new_I").withColumn("new_I", top + F.col("new_I"))
     names = whole.unionByName(split)
     named = out["trips"].join(names, "trip_I")
     is_part = F.col("part").isNotNull()

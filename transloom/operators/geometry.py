@@ -39,9 +39,25 @@ def _part_hull(batches):
             yield pd.DataFrame(hull(batch[["lon", "lat"]].to_numpy()), columns=["lon", "lat"])
 
 
+def _task_hull(batches):
+    held = np.zeros((0, 2))
+    for part in _part_hull(batches):
+        held = hull(np.concatenate([held, part.to_numpy()]))
+    yield pd.DataFrame(held, columns=["lon", "lat"])
+
+
+#: Tasks whose hulls are merged at once.
+MOST_PARTS = 64
+
+
 def convex_hull(stops: DataFrame) -> np.ndarray:
-    """The hull's corners (lon, lat) of all stops: hulls of parts on the workers, their corners once more on the driver."""
-    corners = stops.select("lon", "lat").where("lon is not null and lat is not null").mapInPandas(_part_hull, "lon double, lat double").toPandas()
+    """The hull's corners (lon, lat) of all stops: hulls of parts on the workers, merged level by level, and the last few parts' corners once more on the driver."""
+    corners = stops.select("lon", "lat").where("lon is not null and lat is not null").mapInPandas(_task_hull, "lon double, lat double")
+    parts = corners.rdd.getNumPartitions()
+    while parts > MOST_PARTS:
+        parts = -(-parts // MOST_PARTS)
+        corners = corners.coalesce(parts).mapInPandas(_task_hull, "lon double, lat double")
+    corners = corners.toPandas()
     return hull(corners.to_numpy()) if len(corners) else np.zeros((0, 2))
 
 

@@ -96,6 +96,30 @@ def misplaced_stops(stops: DataFrame, lat: float, lon: float, km: float) -> Data
     return stops.where(haversine(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon)) > km * 1000 * 1.002)
 
 
+def check_import(source_counts: dict[str, int], tables: dict[str, DataFrame]) -> Warnings:
+    """Warnings of an import: tables with another number of rows than their source, nulls, and references that lead nowhere."""
+    found = Warnings()
+    for name, expected, loaded in row_count_differences(source_counts, tables):
+        found.add(f"rows of {name} differ from the source", (expected, loaded), abs(expected - loaded))
+    for r in null_counts(tables).collect():
+        found.add(f"nulls in columns of {r.table_name} that {r.severity} have a value", None, r.n_rows)
+    for r in danglers(tables).collect():
+        found.add(r.warning, None, r.n_rows)
+    return found
+
+
+def check_timetable(tables: dict[str, DataFrame], trip_stats: DataFrame, place: tuple[float, float, float] | None = None) -> Warnings:
+    """Warnings of a timetable, each with the rows it is about: spacing, speed, order, calls at one time, and stops outside of a place (lat, lon, km) if given."""
+    stops, calls = tables["stops"], tables["stop_times"]
+    checks = {"consecutive calls far apart": spacing_violations(calls, stops), "calls of a trip at one time": same_time_groups(calls), "call numbers out of order": sequence_violations(calls), "trips too fast or too long": speed_violations(trip_stats)}
+    if place is not None:
+        checks["stops outside of the place"] = misplaced_stops(stops, *place)
+    found = Warnings()
+    for warning, rows in checks.items():
+        found.add(warning, rows, rows.count())
+    return found
+
+
 class Warnings:
     """Warnings of checks, counted and kept with their rows."""
 
@@ -115,6 +139,23 @@ class Warnings:
     def reasons(self) -> list[tuple[str, object]]:
         return list(self._reasons)
 
+    def rows(self, warning: str) -> list:
+        """What was given as reason for a warning: tables of rows, or single reasons."""
+        return [reason for w, reason in self._reasons if w == warning]
+
+    def write_summary(self, stream) -> None:
+        """The counts, most frequent first, a line each."""
+        stream.write(self.summary() + "\n" if self._counts else "no warnings\n")
+
+    def write_details(self, stream, most: int = 20) -> None:
+        """The counts, each followed by its reasons; of a table of rows so many are shown."""
+        for warning, n in self.counts().items():
+            stream.write(f"{n}\t{warning}\n")
+            for reason in self.rows(warning):
+                for line in reason.limit(most).collect() if isinstance(reason, DataFrame) else [reason]:
+                    if line is not None:
+                        stream.write(f"\t{line}\n")
+
     def summary(self) -> str:
         return "\n".join(f"{n}\t{w}" for w, n in self.counts().items())
 

@@ -11,9 +11,10 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from transloom.common import numbered as numbered_rows
 from transloom.feed import Feed
 from transloom.functions.timetable import day_seconds, iso_date
 from transloom.operators import derive
@@ -37,6 +38,11 @@ class _Reader:
             found = [n for n in archive.namelist() if Path(n).name == f"{name}.txt"]
             return archive.read(found[0]).decode("utf-8-sig") if found else None
 
+    def _breaks_lines(self, path: str) -> bool:
+        """Whether a quoted value holds a line break: some line has an odd number of quotes. Only then a file is one task's."""
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        return not self.spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
     def exists(self, source: Source, name: str) -> bool:
         if isinstance(source, str) and os.path.isdir(source):
             return os.path.exists(f"{source}/{name}.txt")
@@ -49,7 +55,7 @@ class _Reader:
             if not self.exists(source, name):
                 continue
             if isinstance(source, str) and os.path.isdir(source):
-                raw = self.spark.read.option("header", True).option("multiLine", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("escape", '"').csv(f"{source}/{name}.txt")
+                raw = self.spark.read.option("header", True).option("multiLine", self._breaks_lines(f"{source}/{name}.txt")).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("escape", '"').csv(f"{source}/{name}.txt")
                 raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
                 rows = raw.withColumn("line_no", F.monotonically_increasing_id())
             else:
@@ -92,7 +98,7 @@ def read_feed(spark: SparkSession, sources: Source | list[Source], *, ignore: tu
         return F.concat(F.format_string("feed_%d_", "feed_no"), col(df, name, default)) if several else col(df, name, default)
 
     def numbered(df: DataFrame, key: str) -> DataFrame:
-        return df.withColumn(key, F.row_number().over(Window.orderBy("feed_no", "line_no")).cast("long")).drop("feed_no", "line_no")
+        return numbered_rows(df, ["feed_no", "line_no"], key).drop("feed_no", "line_no")
 
     def resolved(df: DataFrame, text: str, number: str, to: DataFrame, to_text: str, to_number: str) -> DataFrame:
         return df.join(to.select(F.col(to_text).alias(text), F.col(to_number).alias(number)), text, "left")
@@ -199,6 +205,8 @@ def text_tables(feed: Feed) -> dict[str, DataFrame]:
         out["shapes"] = t["shapes"].select("shape_id", F.col("lat").alias("shape_pt_lat"), F.col("lon").alias("shape_pt_lon"), F.col("seq").alias("shape_pt_sequence"))
     if "transfers" in t.tables:
         out["transfers"] = _natural(_natural(t["transfers"], "from_stop_I", t, "stops", "stop_I", "stop_id", "from_stop_id"), "to_stop_I", t, "stops", "stop_I", "stop_id", "to_stop_id").select("from_stop_id", "to_stop_id", "transfer_type", "min_transfer_time")
+    if "stop_distances" in t.tables:
+        out["stop_distances"] = _natural(_natural(t["stop_distances"], "from_stop_I", t, "stops", "stop_I", "stop_id", "from_stop_id"), "to_stop_I", t, "stops", "stop_I", "stop_id", "to_stop_id").select("from_stop_id", "to_stop_id", "d", "d_walk")
     if "feed_info" in t.tables:
         out["feed_info"] = t["feed_info"].drop("feed_id")
     return out
