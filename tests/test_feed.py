@@ -306,3 +306,9 @@ def test_numbers_follow_the_order_over_all_partitions(spark):
     rows = spark.range(5000).withColumn("k", F.when(F.col("id") != 7, (F.col("id") * 7919) % 5003)).repartition(7)
     got = [(r.k, r.n) for r in numbered(rows, ["k"], "n").orderBy("n").collect()]
     assert [n for _, n in got] == list(range(1, 5001)) and got[0][0] is None and [k for k, _ in got[1:]] == sorted(k for k, _ in got[1:])
+
+
+def test_hot_trips_are_numbered_like_others(spark):
+    rows = spark.createDataFrame([(t, k, (k * 37) % 101) for t in (1, 2, None) for k in range(60 if t != 2 else 5)], "trip_I long, stop_time_I long, seq int").withColumn("seq", F.when(F.col("seq") != 3, F.col("seq")))
+    whole, split = ({(r.trip_I, r.stop_time_I): r.seq for r in derive.resequenced(rows, hot_rows=n).collect()} for n in (1000, 20))
+    assert whole == split and len(whole) == 125 and sorted(v for (t, _), v in split.items() if t is None) == list(range(1, 61))

@@ -9,14 +9,15 @@ from transloom.common import numbered as numbered_rows
 from transloom.functions.geo import haversine
 from transloom.functions.timetable import day_start_ut
 from transloom.operators.proximity import VoronoiPartition
+from transloom.operators.sequence import with_number
 
 WEEKDAYS = ("m", "t", "w", "th", "f", "s", "su")
 
 
-def resequenced(stop_times: DataFrame, tie: str = "stop_time_I") -> DataFrame:
-    """stop_times with seq 1..n per trip in the order of the given seq, ties by ``tie``."""
-    order = [F.col("seq").asc_nulls_first(), *([F.col(tie)] if tie in stop_times.columns else [])]
-    return stop_times.withColumn("seq", F.row_number().over(Window.partitionBy("trip_I").orderBy(*order)))
+def resequenced(stop_times: DataFrame, tie: str = "stop_time_I", **settings) -> DataFrame:
+    """stop_times with seq 1..n per trip in the order of the given seq, ties by ``tie``; a trip with very many calls is not one task's."""
+    order = ["seq", *([tie] if tie in stop_times.columns else [])]
+    return with_number(stop_times, "trip_I", order, "new_seq_", **settings).withColumn("seq", F.col("new_seq_")).drop("new_seq_")
 
 
 def trip_times(trips: DataFrame, stop_times: DataFrame) -> DataFrame:
