@@ -98,10 +98,19 @@ def stops_of_type(stops: DataFrame, stop_times: DataFrame, trips: DataFrame, rou
     return stops.join(served.select("stop_I").distinct(), "stop_I", "left_semi")
 
 
+def one_trip_per_pattern(served: DataFrame) -> DataFrame:
+    """Of distinct (stop_I, trip_I) the rows of one trip for each set of stops: the smallest trip. Sets are told apart by their size and two 64-bit hashes, without a list of stops."""
+    sets = served.groupBy("trip_I").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("stop_I")).alias("x"), F.sum(F.pmod(F.xxhash64("stop_I", F.lit(1)), F.lit(1 << 40))).alias("s"))
+    return served.join(sets.groupBy("n", "x", "s").agg(F.min("trip_I").alias("trip_I")).select("trip_I"), "trip_I", "left_semi")
+
+
 def reachable_without_change(distances: DataFrame, stop_times: DataFrame, metres: int) -> DataFrame:
-    """(origin, stop_I): for every stop, the stops of any trip that calls within a distance of it."""
+    """(origin, stop_I): for every stop, the stops of any trip that calls within a distance of it.
+
+    Trips that call at the same stops count once, so that a stop with very many trips is not paired with each of them.
+    """
     near = distances.where(F.col("d") < metres).select(F.col("from_stop_I").alias("origin"), F.col("to_stop_I").alias("stop_I"))
-    served = stop_times.select("stop_I", "trip_I").where("stop_I is not null and trip_I is not null").distinct()
+    served = one_trip_per_pattern(stop_times.select("stop_I", "trip_I").where("stop_I is not null and trip_I is not null").distinct())
     boarding = near.join(served, "stop_I").select("origin", "trip_I").distinct()
     return boarding.join(served, "trip_I").select("origin", "stop_I").distinct()
 
