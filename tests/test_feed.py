@@ -312,3 +312,23 @@ def test_hot_trips_are_numbered_like_others(spark):
     rows = spark.createDataFrame([(t, k, (k * 37) % 101) for t in (1, 2, None) for k in range(60 if t != 2 else 5)], "trip_I long, stop_time_I long, seq int").withColumn("seq", F.when(F.col("seq") != 3, F.col("seq")))
     whole, split = ({(r.trip_I, r.stop_time_I): r.seq for r in derive.resequenced(rows, hot_rows=n).collect()} for n in (1000, 20))
     assert whole == split and len(whole) == 125 and sorted(v for (t, _), v in split.items() if t is None) == list(range(1, 61))
+
+
+def test_command_line(spark, tmp_path):
+    import io
+
+    from transloom.__main__ import main
+
+    source = tmp_path / "text"
+    source.mkdir()
+    for name, text in FEED.items():
+        (source / f"{name}.txt").write_text(text, encoding="utf-8")
+    whole, part, out = (str(tmp_path / n) for n in ("whole", "part", "out.zip"))
+    assert main(["import", str(source), "--out", whole]) == 0
+    assert main(["filter", whole, "--out", part, "--start", "2007-03-07", "--end", "2007-03-10"]) == 0
+    said = io.StringIO()
+    assert main(["stats", part], said) == 0
+    told = dict(line.split("\t", 1) for line in said.getvalue().splitlines())
+    assert told["timezone"] == "America/Los_Angeles" and told["copied_from"] == str(source) and (told["first_date"], told["last_date"]) == ("2007-03-07", "2007-03-09")
+    assert main(["export", part, "--out", out]) == 0 and (tmp_path / "out.zip").stat().st_size > 0
+    assert main(["validate", whole], said) >= 1

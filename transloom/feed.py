@@ -26,6 +26,16 @@ class Feed(Mapping):
         """The tables that a folder holds as parquet."""
         return cls(spark, {name: table(spark, folder, name) for name in cls.NAMES})
 
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Feed:
+        """A feed that ``save`` wrote, with its metadata."""
+        from transloom.sources.journey_store import Parameters
+
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        found = [f.getPath().getName() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)]
+        metadata = dict(Parameters.load(spark, f"{folder}/metadata"))
+        return cls(spark, {n.removesuffix(".parquet"): spark.read.parquet(f"{folder}/{n}") for n in sorted(found) if n.endswith(".parquet")}, metadata.get("timezone", "UTC"), metadata)
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.tables and name in ("days", "day_trips2"):
             self.tables[name] = getattr(self, name)
@@ -102,6 +112,29 @@ class Feed(Mapping):
     def walk_network(self, max_metres: float = 1000.0) -> DataFrame:
         return networks.walk_network(self["stop_distances"], max_metres)
 
+    @property
+    def location_name(self) -> str | None:
+        return self.metadata.get("location_name")
+
+    def stats(self) -> dict[str, str]:
+        """Counts, bounds and spans of the tables, and the dates of the timetable."""
+        from transloom.operators.stats import feed_stats
+
+        made = {r.name: r.value for r in feed_stats({n: self[n] for n in sorted(self.tables)}).collect()}
+        span = self.date_span().head()
+        return made | {"first_date": str(span.first_date), "last_date": str(span.last_date)}
+
+    def update_stats(self) -> None:
+        """Keep the statistics in the metadata."""
+        self.metadata |= self.stats()
+
+    def extract(self, tables: dict[str, DataFrame]) -> Feed:
+        """A feed of tables taken from this one, with metadata that says so: this feed's own under orig_, and the time."""
+        import datetime as dt
+
+        kept = {f"orig_{k}": v for k, v in self.metadata.items() if not k.startswith("orig_")}
+        return Feed(self.spark, tables, self.tz, self.metadata | kept | {"copied_from": self.metadata.get("name", ""), "copy_time_ut": int(dt.datetime.now(dt.UTC).timestamp())})
+
     def add_stop(self, **values) -> Feed:
         schema = ", ".join(f"{name} {kind}" for name, kind in self["stops"].dtypes)
         row = self.spark.createDataFrame([tuple(values.get(c) for c in self["stops"].columns)], schema)
@@ -112,7 +145,10 @@ class Feed(Mapping):
         return Feed(self.spark, {name: checkpoint(df) for name, df in self.tables.items()}, self.tz, self.metadata)
 
     def save(self, folder: str) -> None:
-        """All tables as parquet; dated trips by date."""
+        """All tables as parquet, dated trips by date, and the metadata."""
+        from transloom.sources.journey_store import Parameters
+
+        Parameters(self.metadata | {"timezone": self.tz}).save(self.spark, f"{folder}/metadata")
         for name in self.tables:
             writer = self[name].write.mode("overwrite")
             (writer.partitionBy("date") if name == "day_trips2" else writer).parquet(f"{folder}/{name}.parquet")
