@@ -211,30 +211,37 @@ class VoronoiPartition:
             placed = placed.unionByName(self.regions.select(F.col("rid").alias("pid"), "lat", "lon", "reach", F.lit(True).alias("region")).distinct())
         pivots = choose_pivots(located, max(PIVOT_GAP_RADII * radius_m, 1.0), max_pivots)
         if len(pivots):
-            self.rows = self._divided(checkpoint(placed.mapInPandas(_assigner(pivots), ROWS)))
+            self.rows, sizes = self._divided(checkpoint(placed.mapInPandas(_assigner(pivots), ROWS)))
         else:
             self.rows = placed.select("*", F.lit("").alias("cell"), F.lit(True).alias("home")).where(F.lit(False))
+            sizes = self._sizes(self.rows)
         per_block = lambda n: F.greatest(F.lit(1), F.ceil(n / block_rows)).cast("int")
         #: Cells that are too large for one task, with their blocks.
-        self.large = checkpoint(
-            self.rows.where("not region").groupBy("cell").agg(per_block(F.count(F.when(F.col("home"), 1))).alias("probe_blocks"), per_block(F.count("*")).alias("build_blocks")).where("build_blocks > 1")
-        ).withColumnRenamed("cell", "of_cell")
+        self.large = sizes.select(F.col("cell").alias("of_cell"), per_block(F.col("at_home")).alias("probe_blocks"), per_block(F.col("n")).alias("build_blocks")).where("build_blocks > 1")
 
-    def _divided(self, rows: DataFrame) -> DataFrame:
-        """Cells of more than ``split_rows`` points split by pivots of their own, until none is left that can be split."""
+    @staticmethod
+    def _sizes(rows: DataFrame) -> DataFrame:
+        """(cell, n, at_home): points of each cell, and those of them that are at home."""
+        return checkpoint(rows.where("not region").groupBy("cell").agg(F.count("*").alias("n"), F.count(F.when(F.col("home"), 1)).alias("at_home")))
+
+    def _divided(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Cells of more than ``split_rows`` points split by pivots of their own, until none is left that can be split; with the sizes of all cells."""
         done: DataFrame | None = None
+        done_sizes: DataFrame | None = None
+        join = lambda df, other: other if df is None else df.unionByName(other)
         while True:
-            sizes = checkpoint(rows.where("not region").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > self.split_rows))
-            if at_most(sizes, 0):
-                return rows if done is None else done.unionByName(rows)
-            sized = rows.where("not region").join(broadcast_if_small(sizes, BROADCAST_CELLS), "cell")
+            sizes = self._sizes(rows)
+            large = sizes.where(F.col("n") > self.split_rows)
+            if at_most(large, 0):
+                return join(done, rows), join(done_sizes, sizes)
+            sized = rows.where("not region").join(broadcast_if_small(large.select("cell", "n"), BROADCAST_CELLS), "cell")
             sample = sized.where(F.pmod(F.xxhash64("pid", "lat", "lon", "cell"), "n") < CELL_SAMPLE).withColumn("buckets", F.ceil(F.col("n") / ASSIGN_ROWS).cast("int"))
             pivots = checkpoint(sample.groupBy("cell").applyInPandas(_cell_pivots(self.radius_m), "cell string, buckets int, x array<double>, y array<double>, z array<double>"))
             names = broadcast_if_small(pivots.select("cell", "buckets"), BROADCAST_CELLS)
-            kept = rows.join(names, "cell", "left_anti").select(*rows.columns)
-            done = kept if done is None else done.unionByName(kept)
+            done = join(done, rows.join(names, "cell", "left_anti").select(*rows.columns))
+            done_sizes = join(done_sizes, sizes.join(names, "cell", "left_anti"))
             if at_most(pivots, 0):
-                return done
+                return done, done_sizes
             members = rows.join(names, "cell").withColumn("bucket", F.pmod(F.xxhash64("pid", "lat", "lon"), "buckets").cast("int"))
             each = pivots.select("cell", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"), "x", "y", "z")
             rows = checkpoint(members.groupBy("cell", "bucket").cogroup(each.groupBy("cell", "bucket")).applyInPandas(_split, ROWS))
