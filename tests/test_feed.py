@@ -202,6 +202,25 @@ def test_comparison(spark, feed):
     assert compare.rows_not_in(x, y).count() == 2 and compare.rows_not_in(x, y, ["s"]).count() == 2
 
 
+def test_like_sets_by_rare_stops_and_by_frequent_ones(spark):
+    """Equal to comparing all with all, also where like sets share frequent stops only or the frequent ones exceed the bits; what is joined stays small."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(5)
+    sets = [(k, k % 2 == 0, [str(s) for s in range(12) if rnd.random() < 0.6] + [str(rnd.randrange(100, 400)) for _ in range(rnd.randrange(1, 9))]) for k in range(300)]
+    sets = [(k, own, list(dict.fromkeys(stops))) for k, own, stops in sets]
+    df = spark.createDataFrame(sets, "id long, own boolean, stops array<string>")
+    for ratio, frequent in ((0.5, 20), (0.7, 20), (0.5, 1), (0.3, 1000), (1.0, 20), (0.0, 20)):
+        like = {k for k, own, x in sets if own for _, other, y in sets if not other and set(x) & set(y) and len(set(x) & set(y)) >= ratio * len(set(x) | set(y))}
+        assert {r.id for r in compare._like_sets(df, ratio, frequent).collect()} == like, (ratio, frequent)
+    # every sequence calls at one stop: 13 million pairs if sets were joined by each stop
+    hub = spark.range(12000).select(F.concat_ws(",", F.lit("7"), (F.col("id") + 100).cast("string"), (F.col("id") + 20000).cast("string")).alias("stop_sequence"))
+    observed = compare.route_difference(hub.where("stop_sequence like '%1'"), hub.where("stop_sequence not like '%1'"), 0.5)
+    assert observed.count() == 1200
+
+
 def test_shapes(feed):
     assert shapes.passage_times([0, 2, 5, 10, 20, 100], [0, 2, 5], [0, 1, 20]) == pytest.approx([0, 0.4, 1, 2, 4, 20])
     lines = shapes.shape_lines(feed["shapes"])
