@@ -202,6 +202,23 @@ def test_comparison(spark, feed):
     assert compare.rows_not_in(x, y).count() == 2 and compare.rows_not_in(x, y, ["s"]).count() == 2
 
 
+def test_reachable_counts_without_rows_of_long_trips(spark):
+    """As many as the list has, whichever trips are long; long trips of many stops from many origins need no row for each."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(3)
+    calls = spark.createDataFrame([(rnd.randrange(40), trip) for trip in range(30) for _ in range(rnd.choice((2, 3, 12)))] + [(None, 1), (3, None), (5, -1)], "stop_I long, trip_I long")
+    near = spark.createDataFrame([(rnd.randrange(40), rnd.randrange(45), rnd.randrange(150)) for _ in range(120)] + [(None, 3, 5), (None, 4, 5)], "from_stop_I long, to_stop_I long, d int")
+    listed = events.reachable_without_change(near, calls, 100).groupBy("origin").agg(F.count("*").alias("n_stops")).collect()
+    for long in (0, 3, 8, 1000):
+        assert sorted(map(str, events.reachable_counts(near, calls, 100, long).collect())) == sorted(map(str, listed)), long
+    every = spark.range(60000).select(F.col("id").alias("stop_I"), (F.col("id") * 0).alias("trip_I"))  # 3.6 billion pairs
+    to_self = every.select(F.col("stop_I").alias("from_stop_I"), F.col("stop_I").alias("to_stop_I"), F.lit(0).alias("d"))
+    assert {tuple(r) for r in events.reachable_counts(to_self, every, 100).select("n_stops").distinct().collect()} == {(60000,)}
+
+
 def test_like_sets_by_rare_stops_and_by_frequent_ones(spark):
     """Equal to comparing all with all, also where like sets share frequent stops only or the frequent ones exceed the bits; what is joined stays small."""
     import random

@@ -115,6 +115,34 @@ def reachable_without_change(distances: DataFrame, stop_times: DataFrame, metres
     return boarding.join(served, "trip_I").select("origin", "stop_I").distinct()
 
 
+#: A trip of more stops is not paired with each origin that boards it.
+LONG_TRIP = 1000
+
+
+def reachable_counts(distances: DataFrame, stop_times: DataFrame, metres: int, long_trip: int = LONG_TRIP) -> DataFrame:
+    """(origin, n_stops): of every stop, how many stops ``reachable_without_change`` has for it, without a row for each stop of a long trip.
+
+    Origins that board the same long trips reach the same stops by them, and stops of the same long trips are reached together: these sets
+    of trips are compared, once each. Stops reached by other trips are listed, and count where none of the origin's long trips has them.
+    """
+    near = distances.where(F.col("d") < metres).select(F.col("from_stop_I").alias("origin"), F.col("to_stop_I").alias("stop_I")).distinct()
+    served = one_trip_per_pattern(stop_times.select("stop_I", "trip_I").where("stop_I is not null and trip_I is not null").distinct())
+    long = served.groupBy("trip_I").agg(F.count("*").alias("n")).where(F.col("n") > long_trip).select("trip_I")
+    short = served.join(long, "trip_I", "left_anti")
+    calls = served.join(long, "trip_I", "left_semi")
+    of_stop = calls.groupBy("stop_I").agg(F.array_sort(F.collect_set("trip_I")).alias("calling"))
+    of_origin = near.join(calls, "stop_I").groupBy("origin").agg(F.array_sort(F.collect_set("trip_I")).alias("boarded"))
+    alike = of_stop.groupBy("calling").agg(F.count("*").alias("n"))
+    taken = of_origin.select("boarded").distinct().select("boarded", F.explode("boarded").alias("trip_I"))
+    met = taken.join(alike.select("calling", "n", F.explode("calling").alias("trip_I")), "trip_I").select("boarded", "calling", "n").distinct()
+    by_long = of_origin.join(met.groupBy("boarded").agg(F.sum("n").alias("n")), "boarded").select("origin", "n")
+    boarding = near.join(short, "stop_I").select("origin", "trip_I").distinct()
+    reached = boarding.join(short, "trip_I").select("origin", "stop_I").distinct().join(of_stop, "stop_I", "left")
+    own = of_origin.withColumnRenamed("origin", "of_origin")
+    besides = reached.join(own, F.col("origin").eqNullSafe(F.col("of_origin")), "left").where(~F.coalesce(F.arrays_overlap("boarded", "calling"), F.lit(False)))
+    return by_long.unionByName(besides.groupBy("origin").agg(F.count("*").alias("n"))).groupBy("origin").agg(F.sum("n").alias("n_stops"))
+
+
 def trip_lines(stop_times: DataFrame, stops: DataFrame, key: str = "trip_I") -> DataFrame:
     """(trip_I, points): a trip's stops as an array of (seq, lat, lon) in order."""
     located = stop_times.join(stops.select("stop_I", "lat", "lon"), "stop_I")
