@@ -239,3 +239,16 @@ def test_spreading_moves(spark):
     visits = R.spreading(c, 1, walks, start_time=0, max_duration=100, min_transfer_time=5, walk_speed=1)
     got = {(r.from_stop_I, r.to_stop_I, r.trip_id) for r in R.spreading_trips(c, visits, walks, 1, min_transfer_time=5, walk_speed=1).collect()}
     assert got == {(1, 2, "a"), (2, 3, "a"), (2, 4, "b"), (3, 5, "-1")}
+
+
+def test_next_departures_reads_a_key_once(spark):
+    """The first departure at a time or later, equal times too; no frame that is read again for each row, which a busy stop would take hours for."""
+    from pyspark.sql import functions as F
+
+    arrivals = spark.createDataFrame([(1, 5.0), (1, 7.0), (1, 9.5), (2, 1.0), (3, 1.0), (None, 2.0)], "k long, at double")
+    departures = spark.createDataFrame([(1, 7.0, "a"), (1, 9.0, "b"), (2, 0.5, "c"), (2, 1.0, "d"), (None, 3.0, "e")], "k long, departure double, name string")
+    found = R.next_departures(arrivals, departures, ["k"], "at", "departure", ["name"])
+    assert {(r.k, r.at): (r.next_departure, r.next_name) for r in found.collect()} == {(1, 5.0): (7.0, "a"), (1, 7.0): (7.0, "a"), (1, 9.5): (None, None), (2, 1.0): (1.0, "d"), (3, 1.0): (None, None), (None, 2.0): (3.0, "e")}
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    many = spark.range(200000).select((F.col("id") * 0).alias("k"), F.col("id").cast("double").alias("at"))  # 20 billion steps
+    assert R.next_departures(many, many.withColumnRenamed("at", "departure"), ["k"], "at", "departure", []).where("next_departure = at").count() == 200000

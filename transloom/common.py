@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 
@@ -39,6 +40,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files and checkpoints of rounds that are over: Spark removes them when the driver collects its garbage, which may be long after the disk is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more than ``rows`` rows, by one aggregate."""
     return df.count() <= rows

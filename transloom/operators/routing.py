@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from transloom.common import checkpoint
+from transloom.common import checkpoint, release
 from transloom.operators.pareto import boardings_front, time_front
 
 CONNECTION = ["departure_stop", "arrival_stop", "departure_time", "arrival_time", "trip_id", "seq"]
@@ -61,8 +61,9 @@ def next_departures(arrivals: DataFrame, departures: DataFrame, keys: list[str],
     """
     a = arrivals.select(*keys, F.col(at).cast("double").alias("time_"), F.lit(0).alias("side_"), F.struct(*arrivals.columns).alias("row_"), F.lit(None).cast(departures.select(F.struct(departure, *columns)).schema[0].dataType).alias("next_"))
     d = departures.select(*keys, F.col(departure).cast("double").alias("time_"), F.lit(1).alias("side_"), F.lit(None).cast(arrivals.select(F.struct(*arrivals.columns)).schema[0].dataType).alias("row_"), F.struct(departure, *columns).alias("next_"))
-    ahead = Window.partitionBy(*keys).orderBy("time_", "side_").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = a.unionByName(d).withColumn("found_", F.first("next_", ignorenulls=True).over(ahead)).where("side_ = 0")
+    # from the last to the first: a frame that ends at the end would be read again for each row
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("time_"), F.desc("side_")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = a.unionByName(d).withColumn("found_", F.last("next_", ignorenulls=True).over(ahead)).where("side_ = 0")
     return found.select("row_.*", *[F.col(f"found_.{c}").alias(f"next_{c}") for c in (departure, *columns)])
 
 
@@ -106,10 +107,11 @@ def profile_scan(conns: DataFrame, targets: DataFrame, walks: DataFrame, *, marg
         if boardings == 1:
             reached = by_foot
         else:
-            ready = changes.join(known.select("target", "stop").distinct(), "stop")
+            # what catches a journey of an earlier round has been followed there, so only stops with a journey of the last one are looked at
+            ready = changes.join(known.where(F.col("n_boardings") == boardings - 1).select("target", "stop").distinct(), "stop")
             # with fewer boardings allowed than known, the fastest is all that counts: the first that is caught
-            fastest = time_front(known.select("target", "stop", "departure_time", "arrival_time_target", "movement"), ["target", "stop"])
-            caught = next_departures(ready, fastest, ["target", "stop"], "ready", "departure_time", ["arrival_time_target", "movement"]).where("next_arrival_time_target is not null")
+            fastest = time_front(known.select("target", "stop", "departure_time", "arrival_time_target", "movement", "n_boardings"), ["target", "stop"])
+            caught = next_departures(ready, fastest, ["target", "stop"], "ready", "departure_time", ["arrival_time_target", "movement", "n_boardings"]).where(F.col("next_n_boardings") == boardings - 1)
             reached = caught.select("target", *CONNECTION, onward(F.col("next_arrival_time_target"), F.col("walk_s") + F.col("next_movement"), F.col("stop"), F.col("walk_s"), F.col("next_departure_time")))
         best = reached.groupBy("target", *CONNECTION).agg(F.min("onward").alias("onward"))
         rides = best.select("target", "trip_id").distinct().join(legs, "trip_id").select("target", *CONNECTION)
@@ -122,6 +124,7 @@ def profile_scan(conns: DataFrame, targets: DataFrame, walks: DataFrame, *, marg
         if known is not None and fresh.where(F.col("n_boardings") == boardings).isEmpty():
             break
         known = fresh
+        release(conns.sparkSession)
     begun = fresh.withColumns({"first_walk_s": F.lit(0.0), "board_stop": F.col("stop")})
     on_way = fresh.join(paths.withColumnRenamed("walk_s", "first_walk_s"), F.col("stop") == F.col("to_stop_I")).select(
         "target", F.col("from_stop_I").alias("stop"), (F.col("departure_time") - F.col("first_walk_s")).alias("departure_time"), "arrival_time_target", "n_boardings", *ROUTE[:-1], (F.col("movement") + F.col("first_walk_s")).alias("movement"), "first_walk_s", F.col("stop").alias("board_stop")
