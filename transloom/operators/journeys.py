@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from transloom.common import checkpoint, numbered
+from transloom.common import checkpoint, numbered, release
 from transloom.operators.pareto import time_front
 
 OD = ["from_stop_I", "to_stop_I"]
@@ -35,9 +35,10 @@ def unfolded(labels: DataFrame, rides: DataFrame, conns: DataFrame) -> tuple[Dat
         at = F.lit(number)
         ridden = state.select("journey_id", F.col("stop").alias("from_stop_I"), F.col("alight_stop").alias("to_stop_I"), "departure_time", F.col("alight_time").alias("arrival_time_target"), F.col("trip_id").alias("trip_I"), F.col("seq").cast("int").alias("board_seq"), F.col("alight_seq").cast("int").alias("alight_seq"), at.alias("seq"))
         on_foot = state.where("walk_s > 0").select("journey_id", *walk(F.col("alight_stop"), F.col("next_stop"), F.col("alight_time"), F.col("walk_s"), at + 1))
-        found = checkpoint(found.unionByName(ridden).unionByName(on_foot))
+        found = found.unionByName(ridden).unionByName(on_foot)  # read from the states, which are kept
         ahead = state.where("next_departure is not null").select("journey_id", "target", "arrival_time_target", F.col("next_stop").alias("stop"), F.col("next_departure").alias("departure_time"))
         state = checkpoint(ahead.join(go_on, ["target", "stop", "departure_time", "arrival_time_target"]).select("journey_id", "target", "arrival_time_target", "stop", "departure_time", *[f"m.{c}" for c in way]))
+        release(labels.sparkSession)
         if state.isEmpty():
             break
         number += 2
